@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sanilake.llm import class_lm, quality
+from sanilake.llm import class_lm, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,16 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
 
 
+@query
+def op9_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", fold(docs, 4) == 2)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
+    labelled = docs.where(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(labelled, docs.select("text")))
+    return scored.drop("text", "votes").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
