@@ -187,13 +187,13 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
 
     Rows without a label are left out.  Without any example every text scores 0.
     """
-    got = examples(labelled, text, label, each).orderBy("doc_id").toPandas()  # 2 * each rows at most
-    y, toxic = got["y"].to_numpy(float), got["toxic"].to_numpy(bool)
+    got = examples(labelled, text, label, each).orderBy("doc_id").toArrow()  # 2 * each rows at most
+    y, toxic = got["y"].to_numpy(), np.array(got["toxic"].to_pylist(), bool)
     per_class = {c: int((toxic == c).sum()) for c in (True, False)}
-    weights = np.array([n / per_class[c] for n, c in zip(got["of_class"], toxic, strict=True)], float)
-    column = pa.array(got["text"].tolist(), pa.string())
+    weights = np.array([n / per_class[c] for n, c in zip(got["of_class"].to_pylist(), toxic, strict=True)], float)
+    column = got["text"].combine_chunks()
 
-    seen = [(t.lo + r, v) for t in textvec.slices(column) for r, v in (terms_of(t),)] if len(got) else []
+    seen = [(t.lo + r, v) for t in textvec.slices(column) for r, v in (terms_of(t),)] if got.num_rows else []
     rows = np.concatenate([x[0] for x in seen]) if seen else np.zeros(0, np.int64)
     values = np.concatenate([x[1] for x in seen]) if seen else np.zeros(0, np.uint64)
     order = np.lexsort((rows, values))
@@ -221,8 +221,8 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
     idf = np.full(len(terms), np.log(total + 1.0) + 1)
     for r in count_keys(docs, text, once_a_row).collect():  # TERMS rows at most
         idf[r["key"]] = np.log((total + 1) / (r["n"] + 1)) + 1
-    x = np.concatenate([vectors(t, terms, idf) for t in textvec.slices(column)]) if len(got) else np.zeros((0, 0))
-    index = Index.build(x, got["doc_id"].to_numpy(np.int64), y, weights)
+    x = np.concatenate([vectors(t, terms, idf) for t in textvec.slices(column)]) if got.num_rows else np.zeros((0, 0))
+    index = Index.build(x, got["doc_id"].to_numpy(), y, weights)
     votes = index.votes(*index.nearest(x, without=np.arange(len(x))))
     lone = votes < 0
     no_votes = float(np.average(y[lone], weights=weights[lone])) if lone.any() else 0.0
