@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sanilake.llm import bpe, class_lm, quality, toxicity
+from sanilake.llm import bpe, class_lm, decontamination, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer_file())
 
 
+@query
+def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contamination(decontamination.build(docs, table(spark, sf_dir, "benchmark")))
+
+
 @query
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
