@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sanilake.llm import bpe, class_lm, decontamination, quality, toxicity
+from sanilake.llm import bpe, class_lm, decontamination, ngram_join, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,12 @@ def fold(docs: DataFrame, folds: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.groups(docs, ngram_join.Rule(k=3, num=90, den=100))
+
+
 def tokenizer_file() -> str:
     """Where the byte-level vocabulary lies."""
     import public_tokenizers
