@@ -95,8 +95,8 @@ def op9_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", fold(docs, 4) == 2)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
-    labelled = docs.where(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(labelled, docs.select("text")))
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels, docs)
+    scored = toxicity.score(docs, model)
     return scored.drop("text", "votes").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

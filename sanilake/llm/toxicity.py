@@ -168,26 +168,32 @@ class Model:
         return np.where(votes < 0, self.no_votes, np.interp(votes, x, y) if len(x) else self.no_votes)
 
 
-def examples(labelled: DataFrame, text: str, label: str, each: int) -> DataFrame:
-    """At most `each` texts of each class, by hash; equal texts are one, with the mean of their labels."""
-    one = labelled.where(F.col(label).isNotNull()).select("doc_id", F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("double").alias("y"))
-    keys = one.groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.avg("y").alias("y"))
+def examples(docs: DataFrame, labels: DataFrame, text: str, label: str, each: int) -> DataFrame:
+    """At most `each` texts of each class, by hash; equal texts are one, with the mean of their labels.
+
+    Texts themselves aren't shuffled: hashes are joined with the labels, and the
+    few that are chosen are sent to where the texts are.
+    """
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
+    marks = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    keys = hashed.join(marks, "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.avg("y").alias("y"))
     keys = keys.withColumn("toxic", F.col("y") >= 0.5)
     sizes = keys.groupBy("toxic").agg(F.count("*").alias("of_class"))
     chosen = None
     for toxic in (True, False):
         part = keys.where(F.col("toxic") == toxic).orderBy(F.xxhash64("key"), "key").limit(each)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = one.select("doc_id", "text").withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"], "inner")
-    return texts.dropDuplicates(["doc_id", "key"]).join(sizes, "toxic").select("doc_id", "text", "y", "toxic", "of_class")
+    chosen = chosen.join(F.broadcast(sizes), "toxic")
+    texts = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    return texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "y", "toxic", "of_class")
 
 
-def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "toxic", each: int = EXAMPLES) -> Model:
-    """Learns from labelled rows (doc_id, text, label); docs are all documents.
+def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame, text: str = "text", label: str = "toxic", each: int = EXAMPLES) -> Model:
+    """Learns from docs (doc_id, text) that labels (doc_id, label) has; all_docs are all documents.
 
-    Rows without a label are left out.  Without any example every text scores 0.
+    Rows without a label or an id are left out.  Without any example every text scores 0.
     """
-    got = examples(labelled, text, label, each).orderBy("doc_id").toArrow()  # 2 * each rows at most
+    got = examples(docs, labels, text, label, each).orderBy("doc_id").toArrow()  # 2 * each rows at most
     y, toxic = got["y"].to_numpy(), np.array(got["toxic"].to_pylist(), bool)
     per_class = {c: int((toxic == c).sum()) for c in (True, False)}
     weights = np.array([n / per_class[c] for n, c in zip(got["of_class"].to_pylist(), toxic, strict=True)], float)
@@ -209,7 +215,7 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
     best = np.lexsort((keys, -chi2))[:TERMS]
     terms = np.sort(keys[best[chi2[best] >= LEAST_CHI2]])
 
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    sent = all_docs.sparkSession.sparkContext.broadcast(terms)
 
     def once_a_row(s: textvec.Slice) -> np.ndarray:
         if not len(sent.value):
@@ -217,9 +223,9 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
         r, ids = terms_of(s, sent.value)
         return np.unique(r * len(sent.value) + ids.astype(np.int64)).astype(np.uint64) % np.uint64(len(sent.value))
 
-    total = docs.count()
+    total = all_docs.count()
     idf = np.full(len(terms), np.log(total + 1.0) + 1)
-    for r in count_keys(docs, text, once_a_row).collect():  # TERMS rows at most
+    for r in count_keys(all_docs, text, once_a_row).collect():  # TERMS rows at most
         idf[r["key"]] = np.log((total + 1) / (r["n"] + 1)) + 1
     x = np.concatenate([vectors(t, terms, idf) for t in textvec.slices(column)]) if got.num_rows else np.zeros((0, 0))
     index = Index.build(x, got["doc_id"].to_numpy(), y, weights)
