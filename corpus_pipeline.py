@@ -1,10 +1,17 @@
-"""A corpus pipeline over documents: quality rules first."""
+"""A corpus pipeline over documents: rules, lines, copies, test items, tokens.
+
+Each stage reads what its predecessor wrote.  All but the last return the
+columns of documents; the last returns the token ids of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sanilake.llm import bpe, decontamination, line_dedup, ngram_join
 from sanilake.llm.quality import quality_rules
+from sanilake.llm.queries import tokenizer_file
 from sanilake.llm.texts import stored
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,9 +22,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs.select(*DOCUMENTS)).where("kept").select(*DOCUMENTS)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one of each group of near-equal lines; documents that had only lines of others go."""
+    left = line_dedup.dedup_lines(docs.select(*DOCUMENTS)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENTS)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: shingles of five words, a similarity of 0.8 or more."""
+    groups = ngram_join.groups(docs, ngram_join.Rule(k=5, num=80, den=100)).where("doc_id is null or doc_id = component_id")
+    kept = docs.select(*DOCUMENTS).join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contamination(decontamination.build(docs.select("doc_id", "text"), items))
+    return docs.select(*DOCUMENTS).join(found.where("not contaminated").select("doc_id"), "doc_id", "left_semi")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of what they decode to."""
+    encoded = bpe.encode_texts(docs.select("doc_id", "text"), tokenizer_file())
+    read = bpe.decode_ids(encoded, tokenizer_file())
+    return read.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", copies), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", tokens)]
 
-#: The compression bands cannot be written in SQL.
+#: Compression bands, SimHash and BPE cannot be written in SQL.
 ORACLE_SQL = None
 
 

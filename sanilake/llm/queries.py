@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sanilake.llm import bpe, chat, class_lm, decontamination, line_dedup, ngram_join, quality, toxicity, warc
+from sanilake.llm import bpe, chat, class_lm, decontamination, line_dedup, ngram_join, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,11 +57,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(docs, ngram_join.Rule(k=3, num=90, den=100))
 
 
-def tokenizer_file() -> str:
-    """Where the byte-level vocabulary lies."""
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
 @query

@@ -58,6 +58,15 @@ def terms_of(s: textvec.Slice, wanted: np.ndarray | None = None) -> tuple[np.nda
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+def distinct_pairs(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(rows):
+        return rows, values
+    order = np.lexsort((rows, values))
+    rows, values = rows[order], values[order]
+    once = np.append(True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1]))
+    return rows[once], values[once]
+
+
 def vectors(s: textvec.Slice, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of unit length, (1 + log tf) * idf; zero where a text has none of the terms."""
     n = len(s.offsets) - 1
@@ -199,13 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, all_docs: DataFrame, text: str = "te
     weights = np.array([n / per_class[c] for n, c in zip(got["of_class"].to_pylist(), toxic, strict=True)], float)
     column = got["text"].combine_chunks()
 
-    seen = [(t.lo + r, v) for t in textvec.slices(column) for r, v in (terms_of(t),)] if got.num_rows else []
+    seen = [(t.lo + r, v) for t in textvec.slices(column) for r, v in (distinct_pairs(*terms_of(t)),)] if got.num_rows else []
     rows = np.concatenate([x[0] for x in seen]) if seen else np.zeros(0, np.int64)
     values = np.concatenate([x[1] for x in seen]) if seen else np.zeros(0, np.uint64)
-    order = np.lexsort((rows, values))
-    rows, values = rows[order], values[order]
-    once = np.append(True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])) if len(values) else np.zeros(0, bool)
-    rows, values = rows[once], values[once]
     keys, at = np.unique(values, return_inverse=True)
     df, pos = np.bincount(at, minlength=len(keys)).astype(float), np.bincount(at, weights=y[rows], minlength=len(keys))
     n, p = float(len(y)), float(y.sum())
