@@ -148,6 +148,30 @@ def several(members: DataFrame, by: str) -> DataFrame:
     return members.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select("key")
 
 
+def rare_meetings(nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of different roots that share an n-gram among the rarest of both.
+
+    Of the smaller of two linked sets at most n - 2tn/(1+t) n-grams are not in
+    the other, of the larger at most n - tn.  So if one more of the rarest is
+    taken, one of them is in both.  What lies behind the shared n-gram bounds the
+    overlap as well.  Edits make n-grams rare, so near copies of one text
+    that are too far apart don't meet.
+    """
+    grams = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = grams.join(counts, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+    probe = F.col("n") - F.ceil(rule.num * F.col("n") / rule.den) + 1
+    first = ranked.join(nodes, "node").select("node", "n", "shared", "root", F.posexplode(F.slice("ranked", F.lit(1), probe.cast("int"))).alias("at", "x"))
+    first = stored(first.select("node", "n", "shared", "root", "at", F.col("x.gram").alias("key")), "rare")
+    first = stored(first.join(several(first, "root"), "key", "left_semi"), "rare")
+    m, c = F.struct("m.n", "m.node"), F.struct("c.n", "c.node")
+    index = F.col("m.at") <= F.col("m.n") - F.ceil(2 * rule.num * F.col("m.n") / (rule.num + rule.den))
+    reach = 1 + F.least(F.col("m.n") - F.col("m.at"), F.col("c.n") - F.col("c.at")) - 1
+    enough = (rule.num + rule.den) * reach >= rule.num * (F.col("m.n") + F.col("c.n"))
+    met = first.alias("m").join(first.alias("c"), "key").where((m < c) & (F.col("m.root") != F.col("c.root")) & index & enough & could_link(rule, "m", "c"))
+    return met.select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds n_shingles, component_id and links to each row, in place of the text.
 
@@ -182,9 +206,9 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted.join(several(rooted, "root"), "key", "left_semi"), "rooted")
     least = rooted.groupBy("key").agg(F.min("n").alias("least"))
-    open_ = rooted.join(least, "key").where((rule.num + rule.den) * F.col("shared") >= rule.num * (F.col("n") + F.greatest(F.col("least"), F.ceil(rule.num * F.col("n") / rule.den)))).drop("least")
-    met = open_.alias("m").join(open_.alias("c"), "key").where((F.col("m.root") < F.col("c.root")) & could_link(rule, "m", "c"))
-    more = linked(met.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), sets, rule)
+    open_ = rooted.join(least, "key").where((rule.num + rule.den) * F.col("shared") >= rule.num * (F.col("n") + F.greatest(F.col("least"), F.ceil(rule.num * F.col("n") / rule.den))))
+    met = rare_meetings(open_.select("node", "n", "shared", "root").distinct(), sets, rule)
+    more = linked(met.join(tried, ["a", "b"], "left_anti"), sets, rule)
     edges = stored(edges.unionByName(more), "links")
 
     roots = components(edges)
