@@ -322,7 +322,11 @@ def test_line_dedup(spark, docs, none):
     assert len({w for g in seen.values() for w in g}) == len(kinds)
     assert all(len({true[w] for w in g}) == 1 for g in seen.values())  # nothing is linked that should not be
     of = {w: root for root, g in seen.items() for w in g}
-    assert sum(of[a] == of[b] for a, b in similar) >= 0.7 * len(similar)
+    hashes = {lines[r["doc"]][r["line_no"]]: r["simhash"] for r in line_dedup.lines_of(docs, "doc_id", "text", line_dedup.LEAST_WORDS).collect()}
+    apart = lambda a, b: ((hashes[a] ^ hashes[b]) % 2**64).bit_count()
+    must = [(a, b) for a, b in similar if apart(a, b) <= line_dedup.APART]
+    assert len(must) > 5 and all(of[a] == of[b] for a, b in must)
+    assert sum(of[a] == of[b] for a, b in similar) >= 0.5 * len(similar)  # short lines with another word often hash too far apart
     firsts = {}
     for r in got:
         firsts.setdefault(r["root"], set()).update({(r["doc"], r["line_no"])} if r["first"] else ())
