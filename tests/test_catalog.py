@@ -24,7 +24,7 @@ def db():
 
 
 def cell(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if pd.isna(x):
         return None
     if isinstance(x, bool):
         return str(x)
