@@ -338,6 +338,44 @@ def test_line_dedup(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def grouped(spark, texts):
+    """The group of each text, a line of its own."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc"]: r["root"] for r in line_dedup.groups(rows).collect()}
+
+
+def test_line_dedup_recall(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(3, 8)))
+    vocabulary = [word() for _ in range(3000)]
+    texts, kinds = [], []
+    for size, changed in ((10, 1), (20, 1), (20, 4), (60, 3), (60, 12)):
+        for _ in range(20):
+            line = [rng.choice(vocabulary) for _ in range(size)]
+            other = list(line)
+            for k in rng.sample(range(size), changed):
+                other[k] = "".join(rng.sample(line[k], len(line[k])))  # of the same length
+            texts += [" ".join(line), " ".join(other)]
+            kinds.append((size, changed))
+    root = grouped(spark, texts)
+    found = {}
+    for n, kind in enumerate(kinds):
+        a, b = texts[2 * n], texts[2 * n + 1]
+        assert edits(a, b) <= 0.2 * len(a)
+        found.setdefault(kind, []).append(root[2 * n] == root[2 * n + 1])
+    assert min(sum(x) / len(x) for x in found.values()) >= 0.7, {k: sum(x) for k, x in found.items()}
+
+
+def test_line_dedup_corpus_recall(docs):
+    split = re.compile(r"[^\w]+|_")
+    norm = lambda line: " ".join(w for w in split.split(line.lower()) if w)
+    text = {d: t.split("\n") for d, t, *_ in corpus() if t is not None}
+    of = {norm(text[r["doc"]][r["line_no"]]): r["root"] for r in line_dedup.groups(docs).collect()}
+    kinds = sorted(x for x in of if len(x.split()) >= line_dedup.FUZZY_WORDS and len(x) < 400)
+    near = [(a, b) for a in kinds for b in kinds if a < b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and edits(a, b) <= 0.2 * max(len(a), len(b))]
+    assert len(near) > 10 and sum(of[a] == of[b] for a, b in near) >= 0.9 * len(near)
+
+
 # ---------------------------------------------------------------- 9
 
 
