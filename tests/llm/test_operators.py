@@ -376,6 +376,16 @@ def test_line_dedup_corpus_recall(docs):
     assert len(near) > 10 and sum(of[a] == of[b] for a, b in near) >= 0.9 * len(near)
 
 
+def test_line_dedup_copies_and_letters(spark):
+    long = "the quick river carried seven yellow barrels toward another harbour"
+    typos = long.replace("quick", "quikc").replace("yellow", "yelow").replace("barrels", "barrals")
+    chinese = "春天来了花园里的花都开了孩子们在树下唱歌跳舞非常快乐"
+    texts = ["Read more", "read  MORE!", chinese, chinese, chinese.replace("花园", "公园"), long, typos, "Chapter one", "Chapter two", "---", "---"]
+    root = grouped(spark, texts)
+    assert root[0] == root[1] and root[2] == root[3] == root[4] and root[5] == root[6] and root[7] != root[8]
+    assert set(root) == set(range(9))  # lines without a word are not compared
+
+
 # ---------------------------------------------------------------- 9
 
 
