@@ -29,17 +29,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: shingles of five words, a similarity of 0.8 or more."""
-    groups = ngram_join.groups(docs, ngram_join.Rule(k=5, num=80, den=100)).where("doc_id is null or doc_id = component_id")
-    kept = docs.select(*DOCUMENTS).join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    """Keeps one document of each group: shingles of five words, a similarity of 0.8 or more.
+
+    Each row counts for itself.  The smallest doc_id of a group stays, rows without one come last.
+    """
+    rows = stored(docs.select(*DOCUMENTS, F.monotonically_increasing_id().alias("row_no")), "numbered")
+    groups = ngram_join.groups(rows, ngram_join.Rule(k=5, num=80, den=100), doc_id="row_no").select("row_no", "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", F.xxhash64("text").alias("body"), "row_no").alias("place")
+    first = rows.select("row_no", place).join(groups, "row_no").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(first.select("place.row_no"), "row_no", "left_semi").select(*DOCUMENTS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contamination(decontamination.build(docs.select("doc_id", "text"), items))
-    return docs.select(*DOCUMENTS).join(found.where("not contaminated").select("doc_id"), "doc_id", "left_semi")
+    rows = docs.select(*DOCUMENTS, F.col("text").alias("read_text"))
+    found = decontamination.contamination(decontamination.build(rows, items, text="read_text"))
+    return found.where("not contaminated").select(*DOCUMENTS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

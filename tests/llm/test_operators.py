@@ -488,3 +488,20 @@ def test_pipeline(spark, tmp_path):
     final = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) == set(left)
     assert all(final[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in left.items())
+
+
+def test_pipeline_missing_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(60))
+    a, b, c, d, item = prose(), prose(), prose(), prose(), " ".join(word() for _ in range(12))
+    rows = [(None, a), (None, b), (1, c), (1, d), (1, c), (2, prose() + " " + item), (2, prose())]
+    table = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], SCHEMA + ", n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(k, digest(t)) for k, t in (rows[0], rows[1], rows[2], rows[3], rows[6])]
+    got = [(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
