@@ -3,7 +3,9 @@
 The index holds the postings (term, document, position) of the training texts
 for terms that test items use.  A posting can only be part of a window if its
 neighbours are test terms too, so positions outside runs of test terms as long
-as a window are left out; nothing that could match is.
+as a window are left out; nothing that could match is.  Proximity matches may
+have foreign words between, so they have postings of their own: those in
+stretches of words that hold as many test terms as a window has.
 
 A window is looked up from its rarest term: the term's postings, shifted by
 its place in the item, say where the item could lie in a document, and the
@@ -25,6 +27,7 @@ from sanilake.llm import textvec
 from sanilake.llm.texts import add_columns, fresh, stored
 
 WINDOW = 10
+SLOP = 5  # foreign words among those of a proximity match
 GATE = 1 << 22  # the filter of test terms: so many bytes, however many the terms
 
 
@@ -68,16 +71,30 @@ def in_runs(flags: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.repeat(flags[first] & (size >= k), size)
 
 
+def in_stretches(flags: np.ndarray, bounds: np.ndarray, reach: int, least: int) -> np.ndarray:
+    """Which flags stand in a stretch of `reach` words of their row with `least` flags or more."""
+    sums = np.concatenate(([0], np.cumsum(flags)))
+    at = np.flatnonzero(flags)
+    rows = np.searchsorted(bounds, at, "right") - 1
+    full = sums[np.minimum(at + reach, bounds[rows + 1])] - sums[at] >= least  # a stretch can begin with a flag
+    steps = np.zeros(len(flags) + 1, np.int64)
+    np.add.at(steps, at[full], 1)
+    np.add.at(steps, np.minimum(at + reach, bounds[rows + 1])[full], -1)
+    return flags & (np.cumsum(steps[:-1]) > 0)
+
+
 @dataclass
 class Index:
     docs: DataFrame  # one row for each document row: row_no, n_words, and the columns of the input but the text
-    postings: DataFrame  # term, row_no, pos
+    postings: DataFrame  # term, row_no, pos: those of phrases
+    near: DataFrame  # the same, of proximity matches with a slop up to that of the index
     items: DataFrame
     window: int
+    slop: int
     row_no: str
 
 
-def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> Index:
+def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP) -> Index:
     """Stores the postings of docs that items could match.
 
     Null and empty texts have no postings.  Repeated document rows each have
@@ -88,7 +105,9 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     long_gate, short_gate, least = gates(items, window)
     sent = spark.sparkContext.broadcast((np.packbits(long_gate), np.packbits(short_gate)))
     any_short = bool(short_gate.any())
-    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    kinds = windows(items, window).groupBy((F.col("size") < window).alias("short")).agg(F.min(F.size("terms")).alias("n")).collect()
+    fewest = {r["short"]: r["n"] for r in kinds}  # distinct terms of a window
+    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("phrase", T.ArrayType(T.BooleanType()))])
     unpacked: dict[int, np.ndarray] = {}
 
     def compute(s: textvec.Slice) -> list:
@@ -99,21 +118,32 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
         keep = in_runs(unpacked[0][bit], rows, window)
         if any_short:
             keep |= in_runs(unpacked[1][bit], rows, least)
-        at = np.flatnonzero(keep)
+        near = in_stretches(unpacked[0][bit], w.bounds, window + slop, fewest[False]) if False in fewest else np.zeros(len(bit), bool)
+        if any_short:
+            near |= in_stretches(unpacked[1][bit], w.bounds, window + slop, fewest[True])
+        at = np.flatnonzero(keep | near)
         bounds = pa.array(np.searchsorted(at, w.bounds).astype(np.int32))
         places = (at - w.bounds[rows[at]]).astype(np.int32)
-        return [pa.array(w.counts, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(textvec.as_long(w.values[at]))), pa.ListArray.from_arrays(bounds, pa.array(places))]
+        return [pa.array(w.counts, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(textvec.as_long(w.values[at]))), pa.ListArray.from_arrays(bounds, pa.array(places)), pa.ListArray.from_arrays(bounds, pa.array(keep[at]))]
 
     row_no = fresh(docs, "row_no")
     table = stored(add_columns(docs.withColumn(row_no, F.monotonically_increasing_id()), text, fields, compute, drop_text=True), "postings")
-    postings = table.select(F.col(row_no).alias("row_no"), F.explode(F.arrays_zip("terms", "places")).alias("p")).select(F.col("p.terms").alias("term"), "row_no", F.col("p.places").alias("pos"))
-    return Index(table.drop("terms", "places"), postings, items, window, row_no)
+    near = table.select(F.col(row_no).alias("row_no"), F.explode(F.arrays_zip("terms", "places", "phrase")).alias("p")).select(F.col("p.terms").alias("term"), "row_no", F.col("p.places").alias("pos"), "p.phrase")
+    return Index(table.drop("terms", "places", "phrase"), near.where("phrase").drop("phrase"), near.drop("phrase"), items, window, slop, row_no)
 
 
 def places(items: DataFrame) -> DataFrame:
     return items.select("item", "item_id", "size", F.posexplode("terms").alias("ipos", "term"))
 
 
+def windows(items: DataFrame, window: int) -> DataFrame:
+    """(item, item_id, size, first, terms): the windows of each item with their distinct terms."""
+    ahead = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, window - 1)
+    seen = places(items).withColumn("terms", F.array_distinct(F.collect_list("term").over(ahead)))
+    whole = F.col("ipos") + F.least(F.lit(window), F.col("size")) <= F.col("size")
+    return seen.where(whole).select("item", "item_id", "size", F.col("ipos").alias("first"), "terms")
+
+
 def anchors(index: Index) -> DataFrame:
     """(item, ipos, term): the rarest term of each window, once for each place in an item."""
     df = index.postings.join(places(index.items).select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -138,26 +168,42 @@ def phrases(index: Index) -> DataFrame:
     return runs.where(F.col("end") - F.col("start") + 1 >= F.least(F.lit(index.window), F.col("size"))).select("row_no", "item", "item_id", "start", "end")
 
 
-def proximity(index: Index, slop: int) -> DataFrame:
-    """(row_no, item, item_id, ipos): windows all of whose distinct terms a document has within window + slop words.
+def proximity(index: Index, slop: int | None = None) -> DataFrame:
+    """(row_no, item, item_id, ipos): windows all of whose distinct terms a document has in some stretch of their words + slop.
 
-    Looked up from the rarest term too, among the postings of the index.
+    Looked up from the rarest three terms, once for all windows that share them;
+    the others are only asked for where those stand within reach.
     """
-    item_terms_ = places(index.items)
-    starts = anchors(index)
-    near = index.postings.join(starts, "term").select("row_no", "item", "ipos", F.col("pos").alias("at"))
-    ahead = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, index.window - 1)
-    windows = item_terms_.withColumn("terms", F.array_distinct(F.collect_list("term").over(ahead))).withColumn("last", F.col("ipos") + F.least(F.lit(index.window), F.col("size")))
-    windows = windows.where("last <= size").select("item", "item_id", F.col("ipos").alias("first"), "last", "terms")
-    asked = near.join(windows, "item").where((F.col("ipos") >= F.col("first")) & (F.col("ipos") < F.col("last")))
-    asked = asked.select("row_no", "item", "item_id", "first", "at", F.size("terms").alias("needed"), F.explode("terms").alias("term"))
-    reach = index.window + slop
-    hits = asked.join(index.postings, ["row_no", "term"]).where(F.abs(F.col("pos") - F.col("at")) < reach)
-    found = hits.groupBy("row_no", "item", "item_id", "first", "at").agg(F.countDistinct("term").alias("n"), F.first("needed").alias("needed"))
-    return found.where("n = needed").select("row_no", "item", "item_id", F.col("first").alias("ipos")).distinct()
-
-
-def contamination(index: Index) -> DataFrame:
+    slop = index.slop if slop is None else slop
+    if slop > index.slop:
+        raise ValueError(f"the index was built for a slop of {index.slop}")
+    df = index.near.groupBy("term").agg(F.count("*").alias("df"))
+    asked = windows(index.items, index.window).withColumn("reach", F.least(F.lit(index.window), F.col("size")) + slop)
+    asked = asked.select("item", "item_id", "first", "reach", F.size("terms").alias("needed"), F.explode("terms").alias("term")).join(df, "term")
+    asked = asked.groupBy("item", "item_id", "first", "reach", "needed").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms")).where(F.size("terms") == F.col("needed"))
+    asked = stored(asked.withColumn("terms", F.col("terms.term")), "windows")
+    key = ["row_no", "item", "item_id", "first", "reach", "needed", "at"]
+    lead = ["t0", "t1", "t2"]  # the rarest terms, with which many windows begin; fewer if a window has fewer
+    asked = asked.withColumns({t: F.coalesce(F.get("terms", F.lit(k)), F.get("terms", F.lit(0))) for k, t in enumerate(lead)})
+    met = asked.select("reach", *lead).distinct().join(index.near.select(F.col("term").alias("t0"), "row_no", F.col("pos").alias("at")), "t0")
+    for t in lead[1:]:
+        other = index.near.select(F.col("term").alias(t), "row_no", "pos")
+        met = met.join(other, ["row_no", t]).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach")).select("row_no", "at", "reach", *lead).distinct()
+    both = stored(met, "near").join(asked, ["reach", *lead])
+    hits = both.select(*key, F.explode("terms").alias("term")).join(index.near, ["row_no", "term"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
+    hits = hits.groupBy(*key).agg(F.collect_list(F.struct("pos", "term")).alias("hits"))
+    in_reach = F.expr("exists(hits, a -> size(array_distinct(transform(filter(hits, b -> b.pos >= a.pos and b.pos < a.pos + reach), b -> b.term))) = needed)")
+    return hits.where(in_reach).select("row_no", "item", "item_id", F.col("first").alias("ipos")).distinct()
+
+
+def near_items(index: Index) -> DataFrame:
+    """contamination() with n_near_items: how many items have a window within the slop, exact ones included."""
+    near = stored(proximity(index).groupBy("row_no").agg(F.countDistinct("item_id").alias("n_near_items")), "near-items")
+    rows = contamination(index, keep_row=True).join(near.withColumnRenamed("row_no", index.row_no), index.row_no, "left")
+    return rows.withColumn("n_near_items", F.coalesce("n_near_items", F.lit(0))).drop(index.row_no)
+
+
+def contamination(index: Index, keep_row: bool = False) -> DataFrame:
     """Every document row with n_words, n_hit, n_items, items_sha256 and contaminated."""
     found = stored(phrases(index), "phrases")
     hit = found.select("row_no", F.explode(F.sequence("start", "end")).alias("pos")).groupBy("row_no").agg(F.countDistinct("pos").alias("n_hit"))
@@ -165,4 +211,4 @@ def contamination(index: Index) -> DataFrame:
     seen = hit.join(items, "row_no").withColumnRenamed("row_no", index.row_no)
     out = index.docs.join(seen, index.row_no, "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
     out = out.withColumns({"n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", "_items").cast("binary"), 256), "contaminated": F.col("n_hit") > 0})
-    return out.drop("_items", index.row_no)
+    return out.drop("_items", *([] if keep_row else [index.row_no]))

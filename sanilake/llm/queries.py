@@ -79,7 +79,7 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.contamination(decontamination.build(docs, table(spark, sf_dir, "benchmark")))
+    return decontamination.near_items(decontamination.build(docs, table(spark, sf_dir, "benchmark")))
 
 
 @query

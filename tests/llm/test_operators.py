@@ -249,6 +249,37 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contamination(decontamination.build(docs, table.limit(0))).where("contaminated").count() == 0
 
 
+def test_proximity(spark):
+    rng = random.Random(6)
+    common = ["w%d" % k for k in range(30)]
+    items = [(k, " ".join(rng.choice(common) for _ in range(n))) for k, n in enumerate((10, 14, 4, 12, 1))]
+    texts = []
+    for _, t in items:
+        for every in (2, 3, 5, 30):
+            w = t.split()
+            texts.append(" ".join(x + (" foreign" if k % every == every - 1 else "") for k, x in enumerate(w)))
+        texts.append(" ".join(rng.sample(t.split(), len(t.split()))))
+    texts += [" ".join(rng.choice(common) for _ in range(40)) for _ in range(5)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontamination.build(docs, spark.createDataFrame(items, "item_id long, text string"), slop=5)
+    names = {r["row_no"]: r["doc_id"] for r in index.docs.collect()}
+    for slop in (0, 2, 5):
+        want = set()
+        for d, t in enumerate(texts):
+            w = (t or "").split()
+            for i, item in items:
+                terms = item.split()
+                size = min(10, len(terms))
+                for first in range(len(terms) - size + 1):
+                    asked = set(terms[first : first + size])
+                    if any(asked <= set(w[j : j + size + slop]) for j in range(len(w))):
+                        want.add((d, str(i), first))
+        got = {(names[r["row_no"]], r["item_id"], r["ipos"]) for r in decontamination.proximity(index, slop).collect()}
+        assert got == want and len(want) > 5
+    near = {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in decontamination.near_items(index).collect()}
+    assert len(near) == len(texts) and near[2][0] < near[2][1]
+
+
 # ---------------------------------------------------------------- 7
 
 
