@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from sanilake.llm import textvec
 
+MARKS = 1 << 23  # bits that tell most keys apart from those that are looked for: 131072 rows of a broadcast, at most
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
@@ -61,7 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     What follows starts from files that outlive any executor, and nothing
@@ -69,5 +71,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once all that is derived from it has been written too."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def among(df: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """The rows of df whose key, a 64-bit hash, is one of the chosen ones (one column, distinct).
+
+    A table of MARKS bits, whatever the number of rows, is sent to all tasks, so
+    that few of the other rows are shuffled.
+    """
+    words = F.lit(MARKS // 64)
+    place = F.pmod(F.col(key), words).alias("mark_word")
+    at = F.floor(F.pmod(F.col(key), F.lit(MARKS)) / words).cast("int").alias("mark_bit")
+    marks = chosen.select(place, at).groupBy("mark_word").agg(F.bit_or(F.expr("shiftleft(1L, mark_bit)")).alias("mark_bits"))
+    likely = df.withColumns({"mark_word": place, "mark_bit": at}).join(F.broadcast(marks), "mark_word").where("shiftrightunsigned(mark_bits, mark_bit) & 1 = 1")
+    return likely.drop("mark_word", "mark_bit", "mark_bits").join(chosen, key, "left_semi")
