@@ -95,4 +95,4 @@ def among(df: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
     at = F.floor(F.pmod(F.col(key), F.lit(MARKS)) / words).cast("int").alias("mark_bit")
     marks = chosen.select(place, at).groupBy("mark_word").agg(F.bit_or(F.expr("shiftleft(1L, mark_bit)")).alias("mark_bits"))
     likely = df.withColumns({"mark_word": place, "mark_bit": at}).join(F.broadcast(marks), "mark_word").where("shiftrightunsigned(mark_bits, mark_bit) & 1 = 1")
-    return likely.drop("mark_word", "mark_bit", "mark_bits").join(chosen, key, "left_semi")
+    return likely.select(*df.columns).join(chosen, key)  # a left_semi join would be moved below the marks
