@@ -23,14 +23,17 @@ from sanilake.llm.texts import add_columns
 class Bands:
     """Limits of compressed size / size, by size in bytes.
 
-    Each row is (from this many bytes, lowest ratio, highest ratio).  Shorter
-    texts than the first row says have no band: headers and tables of the
-    format outweigh what the text shows.  A document of two chunks or more is
-    also rejected if more than bad_share of its chunks lie outside the band
-    of a whole text of the chunk's size, widened by chunk_slack.
+    Each row is (from this many bytes, lowest ratio, highest ratio).  In the
+    shortest texts headers of the format outweigh what the text shows, so
+    their bands are wide.  A document is also rejected if more than bad_share
+    of its bytes are in chunks that lie outside the band of a whole text
+    of the chunk's size, widened by chunk_slack.  The last chunk is what is left.
     """
 
     limits: tuple[tuple[int, float, float], ...] = (
+        (0, 0.25, 20.0),
+        (25, 0.40, 1.75),
+        (50, 0.45, 1.40),
         (100, 0.50, 1.20),
         (200, 0.48, 0.95),
         (400, 0.46, 0.80),
@@ -117,18 +120,18 @@ def judge(raw: memoryview, zstd: zstandard.ZstdCompressor, bands: Bands) -> tupl
         return None, 0, "ok"
     ratio = len(zstd.compress(raw)) / size
     low, high = bands.of(size)
-    bad = chunks = 0
-    if size >= 2 * bands.chunk_bytes:
-        low_c, high_c = bands.of(bands.chunk_bytes)
-        for at in range(0, size - bands.chunk_bytes + 1, bands.chunk_bytes):
-            r = len(zstd.compress(raw[at : at + bands.chunk_bytes])) / bands.chunk_bytes
-            chunks += 1
-            bad += not low_c - bands.chunk_slack <= r <= high_c + bands.chunk_slack
+    bad = bad_bytes = 0
+    for at in range(0, size, bands.chunk_bytes):
+        chunk = raw[at : at + bands.chunk_bytes]
+        r = ratio if len(chunk) == size else len(zstd.compress(chunk)) / len(chunk)
+        low_c, high_c = bands.of(len(chunk))
+        if not low_c - bands.chunk_slack <= r <= high_c + bands.chunk_slack:
+            bad, bad_bytes = bad + 1, bad_bytes + len(chunk)
     if ratio < low:
         return ratio, bad, "repetitive"
     if ratio > high:
         return ratio, bad, "incompressible"
-    return ratio, bad, "chunks" if bad > bands.bad_share * chunks else "ok"
+    return ratio, bad, "chunks" if bad_bytes > bands.bad_share * size else "ok"
 
 
 def quality_rules(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
