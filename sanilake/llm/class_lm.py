@@ -2,12 +2,15 @@
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)).  Counts of words and of
 neighbouring words come from the whole training part.  Exchange clustering
-moves words between classes while the likelihood of the class bigrams grows.
-
-Sizes.  The counts of all words stay in a table; only two bounded pieces of it
-reach the driver and the tasks: the HOT most frequent words with their counts
-and the CLUSTERED most frequent ones with their classes.  Words beyond HOT are
-looked up by a join; words beyond CLUSTERED share one class.
+moves the most frequent words between classes while the likelihood of the class
+bigrams grows.  Every other word is then assigned to the class that raises
+it most, classes fixed: the HOT most frequent ones each by their own neighbours, words
+beyond by those of all such words with the same ending.  So every word, seen or
+not, has a class by its neighbours; transitions are counted anew with all of them.
+
+Sizes.  The counts of all words stay in a table; bounded pieces of it reach
+the driver and the tasks: the HOT most frequent words with their counts and classes,
+and the classes of BINS endings.  Words beyond HOT have their counts by a join.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from sanilake.llm import textvec
 from sanilake.llm.counting import count_keys
 from sanilake.llm.texts import add_columns, fresh, stored
 
-HOT = 1 << 18  # words whose counts each task holds, at most: 4 MB
-CLUSTERED = 1 << 13  # words with a class of their own choosing
+HOT = 1 << 18  # words whose counts and classes each task holds, at most: 5 MB
+CORE = 1 << 13  # of these, the words that exchange classes, at most
+BINS = 1 << 12  # of endings, by which the other words have their class
+ENDING = 3  # bytes
 CLASSES = 64
 ROUNDS = 8
 ADD = 0.1  # added to each count
@@ -36,14 +41,19 @@ END = np.uint64(0x5EED0FE4D0C5E4D1)  # stands for the end of a text
 
 
 def tokens(s: textvec.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each row and then its end; and where each row's tokens begin."""
+    """Words of each row and then its end; and where each row's tokens begin.
+
+    The low bits of a word's value are the bin of its ending.
+    """
     w = textvec.words(s)
+    ending = textvec.span_values(s.data, np.maximum(w.ends - ENDING, w.starts), w.ends, fold=True)
+    values = (w.values & ~np.uint64(BINS - 1)) | (ending & np.uint64(BINS - 1))
     n = len(w.bounds) - 1
     bounds = w.bounds + np.arange(n + 1)
     out = np.full(int(bounds[-1]), END, np.uint64)
     is_word = np.ones(len(out), bool)
     is_word[bounds[1:] - 1] = False
-    out[is_word] = w.values
+    out[is_word] = values
     return out, bounds
 
 
@@ -59,29 +69,36 @@ def lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Model:
     hot: np.ndarray  # sorted values of the most frequent words
     hot_counts: np.ndarray
-    clustered: np.ndarray  # sorted values of the words with classes
-    classes: np.ndarray  # their classes; the class CLASSES is that of all others
+    hot_classes: np.ndarray
+    bin_classes: np.ndarray  # classes of all other words, by their endings
+    types: np.ndarray  # how many words each class has seen
     pairs: np.ndarray  # counts of neighbouring classes
     train_tokens: int
     vocabulary: int
     counts: DataFrame = field(repr=False)
-    likelihood: list[float] = field(default_factory=list)
+    likelihood: list[float] = field(default_factory=list)  # of the core words' classes, round by round
 
     def parts(self) -> dict:
-        """What tasks need; all of it is bounded by HOT, CLUSTERED and CLASSES."""
-        other = CLASSES
+        """What tasks need; all of it is bounded by HOT, BINS and CLASSES."""
         mass = self.pairs.sum(0)  # tokens of each class
-        types = np.bincount(self.classes, minlength=CLASSES + 1).astype(float)
-        types[other] = max(self.vocabulary - len(self.clustered), 0) + 1  # and one for every unseen word
-        share = (mass + ADD * types) / (mass.sum() + ADD * types.sum())
+        room = mass + ADD * (self.types + np.isin(np.arange(CLASSES), self.bin_classes))  # and one unseen word of each class that can have some
+        share = room / room.sum()
         moves = (self.pairs + PULL * share) / (self.pairs.sum(1, keepdims=True) + PULL)
         with np.errstate(divide="ignore"):
-            return {"hot": self.hot, "hot_counts": self.hot_counts, "clustered": self.clustered, "classes": self.classes, "moves": np.log10(moves), "room": np.log10(mass + ADD * types), "base_room": float(np.log10(self.train_tokens + ADD * (self.vocabulary + 1)))}
+            return {"hot": self.hot, "hot_counts": self.hot_counts, "hot_classes": self.hot_classes, "bin_classes": self.bin_classes, "moves": np.log10(moves), "room": np.log10(room), "base_room": float(np.log10(self.train_tokens + ADD * (self.vocabulary + 1)))}
 
 
-def class_ids(values: np.ndarray, clustered: np.ndarray, classes: np.ndarray, other: int) -> np.ndarray:
-    at, there = lookup(clustered, values)
-    return np.where(there, classes[at] if len(classes) else other, other)
+def class_ids(values: np.ndarray, hot: np.ndarray, hot_classes: np.ndarray, bin_classes: np.ndarray) -> np.ndarray:
+    at, there = lookup(hot, values)
+    others = bin_classes[(values & np.uint64(BINS - 1)).astype(np.int64)]
+    return np.where(there, hot_classes[at], others) if len(hot) else others
+
+
+def before_each(ids: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each token; a text begins after an end."""
+    before = np.roll(ids, 1)
+    before[bounds[:-1]] = end
+    return before
 
 
 def f(x: np.ndarray) -> np.ndarray:
@@ -111,7 +128,7 @@ def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, self_pair
         change += (f(without[b] + before[b, None]) - known[b]).sum(0)
         change -= (f(corner + after) - f(corner)) + (f(corner + before) - f(corner))
         change += f(corner + after + before + s) - f(corner) - 2 * (f(rest + n) - f(rest))
-        change[size - 1] = -np.inf  # the class of other words takes no members
+        change[size - 1] = -np.inf  # that of all other words takes no members yet
         h = int(np.argmax(change))
         best[i], gain[i] = h, change[h] - change[g]
     return best, gain
@@ -124,7 +141,7 @@ def exchange(bigrams: DataFrame, clustered: int, classes: np.ndarray) -> tuple[n
     likelihood it is taken back, and fewer words move together from then on.
 
     The counts of neighbours by class, and each word's best class, are worked
-    out by Spark; what comes back is a row for each clustered word.
+    out by Spark; what comes back is a row for each core word.
     """
     spark, size, other, parts = bigrams.sparkSession, CLASSES + 1, clustered, 2
     likelihood: list[float] = []
@@ -133,7 +150,7 @@ def exchange(bigrams: DataFrame, clustered: int, classes: np.ndarray) -> tuple[n
     def by_class(classes: np.ndarray) -> DataFrame:
         ids = spark.createDataFrame(pa.table({"w": np.arange(other + 1), "c": np.append(classes, CLASSES)}))
         a, b = ids.select(F.col("w").alias("a"), F.col("c").alias("ca")), ids.select(F.col("w").alias("b"), F.col("c").alias("cb"))
-        return bigrams.join(F.broadcast(a), "a").join(F.broadcast(b), "b")  # CLUSTERED rows at most
+        return bigrams.join(F.broadcast(a), "a").join(F.broadcast(b), "b")  # CORE rows at most
 
     for k in range(ROUNDS + 1):
         named = by_class(classes)
@@ -169,7 +186,7 @@ def exchange(bigrams: DataFrame, clustered: int, classes: np.ndarray) -> tuple[n
                 best, gain = best_classes(x["own"].to_numpy(), dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size], pairs)
                 yield pd.DataFrame({"w": x["w"], "best": best, "gain": gain})
 
-        moves = vectors.repartition(24).mapInPandas(choose, "w long, best long, gain double").where("gain > 1e-6").toArrow()
+        moves = vectors.mapInPandas(choose, "w long, best long, gain double").where("gain > 1e-6").toArrow()
         classes = classes.copy()
         classes[moves["w"].to_numpy()] = moves["best"].to_numpy()
     return kept, kept_pairs, likelihood
@@ -193,31 +210,105 @@ def most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
+def assigned(slots: np.ndarray, counts: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each word the class that it raises the likelihood most in, the classes of others fixed.
+
+    slots: the class before the word, or CLASSES + 1 + the class after it, CLASSES
+    being that of words without one; first: where each word's slots begin.
+    """
+    size = CLASSES + 1
+    after = slots >= size
+    known = np.where(after[:, None], pairs[:CLASSES, slots % size].T, pairs[slots % size, :CLASSES])
+    gain = np.add.reduceat(f(known + counts[:, None]) - f(known), first, axis=0)
+    n_after = np.add.reduceat(np.where(after, counts, 0), first)[:, None]
+    n_before = np.add.reduceat(np.where(after, 0, counts), first)[:, None]
+    out, into = pairs.sum(1)[:CLASSES], pairs.sum(0)[:CLASSES]
+    return np.argmax(gain - (f(out + n_after) - f(out)) - (f(into + n_before) - f(into)), axis=1)
+
+
+def assign(neighbours: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(w, class) from (w, slot, n)."""
+
+    def choose(frames):
+        for x in frames:
+            sizes = x["slots"].map(len).to_numpy()
+            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            best = assigned(np.concatenate(x["slots"].to_list()), np.concatenate(x["ns"].to_list()).astype(float), first, pairs) if len(x) else []
+            yield pd.DataFrame({"w": x["w"], "class": best})
+
+    lists = neighbours.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("x")).select("w", F.col("x.slot").alias("slots"), F.col("x.n").alias("ns"))
+    return lists.mapInPandas(choose, "w long, class long")
+
+
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Learns from all rows of docs.  An empty table gives a model that knows no word."""
+    """Learns from all rows of docs.  An empty table gives a model that knows no word.
+
+    Null and empty texts are one token, their end; repeated rows count again.
+    """
     spark = docs.sparkSession
     counts = stored(count_keys(docs, text, lambda s: tokens(s)[0]), "word-counts")
     all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     hot, hot_n = most_frequent(counts)
-    clustered, start = hot[:CLUSTERED], np.arange(len(hot[:CLUSTERED])) % CLASSES
-    order = np.argsort(clustered)
-    clustered, start = clustered[order], start[order]
-    other = len(clustered)
-    sent = spark.sparkContext.broadcast(clustered)
+    core = np.sort(hot[:CORE])
+    order = np.argsort(hot)
+    hot, hot_n = hot[order], hot_n[order]
+    other = len(core)
+    sent = spark.sparkContext.broadcast((core, hot))
+
+    def core_ids(values: np.ndarray) -> np.ndarray:
+        at, there = lookup(sent.value[0], values)
+        return np.where(there, at, other)
 
     def pairs_of(s: textvec.Slice) -> np.ndarray:
         values, bounds = tokens(s)
-        at, there = lookup(sent.value, values)
-        ids = np.where(there, at, other)
-        before = np.roll(ids, 1)
-        end, known = lookup(sent.value, np.array([END], np.uint64))
-        before[bounds[:-1]] = end[0] if known[0] else other  # a text begins after an end
-        return (before * (other + 1) + ids).astype(np.uint64)
+        ids = core_ids(values)
+        return (before_each(ids, bounds, core_ids(np.array([END]))[0]) * (other + 1) + ids).astype(np.uint64)
 
     bigrams = count_keys(docs, text, pairs_of).select(F.expr(f"key div {other + 1}").alias("a"), (F.col("key") % (other + 1)).alias("b"), "n")
-    classes, pairs, likelihood = exchange(stored(bigrams, "word-pairs"), other, start)
-    order = np.argsort(hot)
-    return Model(hot[order], hot_n[order], clustered, classes, pairs, int(all_["n"]), int(all_["v"]), counts, likelihood)
+    ranks = np.empty(other, np.int64)  # classes begin with the words dealt by how frequent they are
+    ranks[np.argsort(-hot_n[np.searchsorted(hot, core)], kind="stable")] = np.arange(other)
+    classes, pairs, likelihood = exchange(stored(bigrams, "word-pairs"), other, ranks % CLASSES)
+
+    slots, with_other = 2 * (CLASSES + 1), np.append(classes, CLASSES)
+
+    def neighbours_of(s: textvec.Slice) -> np.ndarray:
+        """For every word that is not of the core: (its place among the hot words, or its bin) and a slot."""
+        values, bounds = tokens(s)
+        ids = core_ids(values)
+        named = with_other[ids]
+        at, there = lookup(sent.value[1], values)
+        unit = np.where(there, at, len(sent.value[1]) + (values & np.uint64(BINS - 1)).astype(np.int64))
+        left = before_each(named, bounds, with_other[core_ids(np.array([END]))[0]])
+        right = np.roll(named, -1)
+        own = np.flatnonzero(ids == other)  # the last token of a text is an end, so what is to the right is in the text
+        if not len(sent.value[0]) or END not in sent.value[0]:
+            right[bounds[1:] - 1] = CLASSES
+        return np.concatenate((unit[own] * slots + left[own], unit[own] * slots + CLASSES + 1 + right[own])).astype(np.uint64)
+
+    near = count_keys(docs, text, neighbours_of).select(F.expr(f"key div {slots}").alias("w"), (F.col("key") % slots).alias("slot"), "n")
+    found = assign(near, pairs).toArrow()  # HOT + BINS rows at most
+    usual = int(np.argmax(pairs.sum(0)[:CLASSES]))  # of endings that no word has
+    every = np.full(len(hot) + BINS, usual)
+    every[np.searchsorted(hot, core)] = classes
+    every[found["w"].to_numpy()] = found["class"].to_numpy()
+    hot_classes, bin_classes = every[: len(hot)], every[len(hot) :]
+    sent_classes = spark.sparkContext.broadcast((hot_classes, bin_classes))
+
+    def class_pairs_of(s: textvec.Slice) -> np.ndarray:
+        values, bounds = tokens(s)
+        named = class_ids(values, sent.value[1], *sent_classes.value)
+        end = class_ids(np.array([END]), sent.value[1], *sent_classes.value)[0]
+        return (before_each(named, bounds, end) * CLASSES + named).astype(np.uint64)
+
+    pairs = np.zeros((CLASSES, CLASSES))
+    for r in count_keys(docs, text, class_pairs_of).collect():  # CLASSES squared rows at most
+        pairs[r["key"] // CLASSES, r["key"] % CLASSES] = r["n"]
+    of_bins = counts.groupBy(F.col("key").bitwiseAND(F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("words")).collect()  # BINS rows at most
+    words = np.zeros(BINS, np.int64)
+    words[[r["bin"] for r in of_bins]] = [r["words"] for r in of_bins]
+    words -= np.bincount((hot & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    types = np.bincount(hot_classes, minlength=CLASSES) + np.bincount(bin_classes, weights=words, minlength=CLASSES)
+    return Model(hot, hot_n, hot_classes, bin_classes, types, pairs, int(all_["n"]), int(all_["v"]), counts, likelihood)
 
 
 SCORED = T.StructType(
@@ -237,15 +328,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts are one token, the end.  Repeated rows score alike.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
-    other = CLASSES
     partial = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
 
     def compute(s: textvec.Slice) -> list:
         m = sent.value
         values, bounds = tokens(s)
-        classes = class_ids(values, m["clustered"], m["classes"], other)
-        before = np.roll(classes, 1)
-        before[bounds[:-1]] = class_ids(np.array([END], np.uint64), m["clustered"], m["classes"], other)[0]
+        classes = class_ids(values, m["hot"], m["hot_classes"], m["bin_classes"])
+        before = before_each(classes, bounds, class_ids(np.array([END]), m["hot"], m["hot_classes"], m["bin_classes"])[0])
         at, there = lookup(m["hot"], values)
         weight = np.log10((m["hot_counts"][at] if len(m["hot"]) else np.zeros(len(at))) + ADD) * there
         base = weight - m["base_room"]
