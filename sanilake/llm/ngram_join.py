@@ -5,9 +5,10 @@ matrix with its transpose.  Only few entries can reach t, and the columns are
 dealt into blocks so that they show themselves.  Sets of at most U n-grams
 with a similarity of t differ in at most d = 2U(1-t)/(1+t) of them, so of more
 than d blocks of columns one is the same in both sets.  Pairs that
-agree in no block are never multiplied; for the others the overlap is counted
-unless bounds from the sizes, and from n-grams that no other candidate has,
-already rule them out.
+agree in no block are never multiplied, nor are those that bounds from the sizes, and
+from n-grams that no other candidate has, rule out.  For the others the rows
+are multiplied one block of columns after another: overlaps are added up by pair, and a
+pair is dropped as soon as what is left of both sets can't bring it to t.
 
 Sizes fall into classes, and a set is dealt as its own class and as those of the
 largest sets that it could be linked with, so both sets of a pair are dealt alike once.
@@ -20,6 +21,7 @@ then only those pairs are multiplied that are still in different components.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,8 @@ from sanilake.llm.components import components
 from sanilake.llm.texts import add_columns, stored
 
 GROWTH = 1.3  # of the largest size from one class to the next
+COLUMN_BITS = 3  # 8 blocks of columns, one multiplied after another
+PAIRS = 256  # pairs that are multiplied together
 
 
 @dataclass(frozen=True)
@@ -134,13 +138,53 @@ def could_link(rule: Rule, a: str, b: str):
     return (rule.den * F.least(na, nb) >= rule.num * F.greatest(na, nb)) & ((rule.num + rule.den) * F.least(sa, sb) >= rule.num * (na + nb))
 
 
+def offsets_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, one list after another, and where each begins."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[bounds[0] : bounds[-1]].view(np.uint64), bounds - bounds[0]
+
+
+def overlaps(left: pa.Array, right: pa.Array, rule: Rule) -> np.ndarray:
+    """Which pairs of rows are linked: the product of two incidence matrices, by blocks of columns.
+
+    Columns are dealt into COLUMN_BLOCKS by their value.  What a pair has in common is
+    added up over blocks; after each, pairs are dropped that their size bound rules out.
+    """
+    sides = [offsets_of(x) for x in (left, right)]
+    sizes = [np.diff(b) for _, b in sides]
+    least = -(-rule.num * (sizes[0] + sizes[1]) // (rule.num + rule.den))  # the overlap that links
+    n = len(least)
+    rows = [np.repeat(np.arange(n), x) for x in sizes]
+    block = [(v >> np.uint64(64 - COLUMN_BITS)).astype(np.int64) for v, _ in sides]
+    met, seen, alive = np.zeros(n, np.int64), [np.zeros(n, np.int64) for _ in sides], np.minimum(*sizes) >= least
+    for k in range(1 << COLUMN_BITS):
+        here = [np.flatnonzero((b == k) & alive[r]) for b, r in zip(block, rows, strict=True)]
+        row = np.concatenate([r[h] for r, h in zip(rows, here, strict=True)])
+        column = np.concatenate([v[h] for (v, _), h in zip(sides, here, strict=True)])
+        order = np.lexsort((column, row))
+        row, column = row[order], column[order]
+        both = np.flatnonzero((row[1:] == row[:-1]) & (column[1:] == column[:-1]))  # sets have a column once
+        met += np.bincount(row[both], minlength=n)
+        for s, r, h in zip(seen, rows, here, strict=True):
+            s += np.bincount(r[h], minlength=n)
+        alive &= met + np.minimum(sizes[0] - seen[0], sizes[1] - seen[1]) >= least
+    return alive
+
+
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those pairs (a, b) whose overlap is large enough."""
     left = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
-    both = F.size(F.array_intersect("ka", "kb"))
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("ka") + F.size("kb")).alias("sizes"))
-    return counted.where((rule.num + rule.den) * F.col("both") >= rule.num * F.col("sizes")).select("a", "b")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                keep = pa.array(overlaps(part.column(2), part.column(3), rule))
+                yield part.select(["a", "b"]).filter(keep)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(multiply, "a long, b long")
 
 
 def several(members: DataFrame, by: str) -> DataFrame:
@@ -182,8 +226,8 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     """
     docs_ = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     table = stored(sets_table(docs_, "text", rule, contents=False), "sets")
-    rows = table.select("node", F.explode("keys").alias("key")).repartition("key")
-    members = stored(rows.join(several(rows, "node"), "key", "left_semi").distinct(), "members")
+    rows = table.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    members = stored(rows.join(several(rows, "node"), "key", "left_semi"), "members")
     chosen = members.select("node").distinct()
     first = table.groupBy("node").agg(F.min("id").alias("id")).join(chosen, "node", "left_semi").where("id is not null")
     again = docs_.join(first.select("id").distinct(), "id", "left_semi")
@@ -212,8 +256,8 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     edges = stored(edges.unionByName(more), "links")
 
     roots = components(edges)
-    named = table.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.where("node is not null").groupBy("root").agg(F.min("id").alias("least_id"), F.count("*").alias("rows"))
-    out = named.join(ids, "root", "left")
-    out = out.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce(F.when(F.col("node").isNotNull(), F.col("least_id")), F.col("id")).alias("component_id"), (F.coalesce("rows", F.lit(1)) > 1).alias("links"))
-    return out
+    nodes = table.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("rows"))
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))  # one row for each set, however many documents have it
+    ids = nodes.groupBy("root").agg(F.min("least_id").alias("least_id"), F.sum("rows").alias("rows"))
+    named = table.drop("keys").join(nodes.select("node", "root").join(ids, "root").select("node", "least_id", "rows"), "node", "left")
+    return named.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("least_id", "id").alias("component_id"), (F.coalesce("rows", F.lit(1)) > 1).alias("links"))
