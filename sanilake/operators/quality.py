@@ -13,16 +13,6 @@ from sanilake.functions.rules import DATE_PATTERNS, date
 
 
 
-def rule_of(field: Mapping[str, Any] | None) -> str | None:
-    if field is None:
-        return "not in dictionary"
-    if field.get("codes"):
-        return f"code map ({len(field['codes'])} codes)"
-    if field.get("type") == "date" and field.get("format") in DATE_PATTERNS:
-        return f"date {field['format']}"
-    return None
-
-
 def check_columns(df: DataFrame, fields: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """One row for each column: rule, how much is empty, what has no label, which dates are wrong.
 
@@ -38,14 +28,17 @@ def check_columns(df: DataFrame, fields: Mapping[str, Mapping[str, Any]]) -> Dat
     named, valid = F.lit(None).cast("string"), F.lit(None).cast("date")
     described = []
     for n, c in enumerate(df.columns):
-        field = fields.get(c.lower())
-        rule = rule_of(field)
-        described.append((n, c, (field or {}).get("label"), rule, bool(field and field.get("codes")), bool(rule and rule.startswith("date "))))
-        if field and field.get("codes"):
-            named = F.when(F.col("place") == n, lookup(field["codes"], "value")).otherwise(named)
-        if described[-1][5]:
-            valid = F.when(F.col("place") == n, date("value", field["format"])[0]).otherwise(valid)
-    about = spark.createDataFrame(described, "place int, column string, label string, rule string, coded boolean, dated boolean")
+        field = fields.get(c.lower(), {})
+        codes, pattern = field.get("codes") or {}, field.get("format") if field.get("type") == "date" else None
+        pattern = pattern if pattern in DATE_PATTERNS and not codes else None
+        described.append((n, c, field.get("label"), c.lower() in fields, len(codes), pattern))
+        if codes:
+            named = F.when(F.col("place") == n, lookup(codes, "value")).otherwise(named)
+        if pattern:
+            valid = F.when(F.col("place") == n, date("value", pattern)[0]).otherwise(valid)
+    about = spark.createDataFrame(described, "place int, column string, label string, known boolean, n_codes int, pattern string")
+    said = F.when(F.col("n_codes") > 0, F.format_string("code map (%d codes)", "n_codes")).when(F.col("pattern").isNotNull(), F.concat(F.lit("date "), "pattern"))
+    about = about.select("place", "column", "label", F.when(F.col("known"), said).otherwise("not in dictionary").alias("rule"), (F.col("n_codes") > 0).alias("coded"), F.col("pattern").isNotNull().alias("dated"))
     seen = values.join(F.broadcast(about.select("place", "coded", "dated")), "place").withColumns({"named": named, "valid": valid})
     unlabelled = filled & F.col("coded") & F.col("named").isNull()
     order = F.struct((-F.col("rows")).alias("less"), F.col("value"))

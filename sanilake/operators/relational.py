@@ -45,6 +45,15 @@ def within_coverage(year: Column, month: Column, first: tuple[int, int], last: t
     return low if last is None else low & (at <= last[0] * 12 + last[1])
 
 
+def in_months(column: str, first: tuple[int, int], last: tuple[int, int] | None = None) -> Column:
+    """The same of a date or timestamp column, as a range that reaches the scan."""
+    start = F.col(column) >= F.lit(f"{first[0]:04d}-{first[1]:02d}-01").cast("date")
+    if last is None:
+        return start
+    after = (last[0], last[1] + 1) if last[1] < 12 else (last[0] + 1, 1)
+    return start & (F.col(column) < F.lit(f"{after[0]:04d}-{after[1]:02d}-01").cast("date"))
+
+
 def reference_join(df: DataFrame, reference: DataFrame, on: Mapping[str, str], rule: Column | None = None, prefix: str = "ref_") -> DataFrame:
     """Left join of a code column with a vocabulary; rule adds a condition to the join.
 
@@ -83,6 +92,20 @@ def exactly_one(df: DataFrame, key: Sequence[str], what: str) -> DataFrame:
     return df.withColumn("_ok", ok).where("_ok").drop("_ok")
 
 
+def days_held(df: DataFrame, start: str, end: str, out: str = "day", n: str = "n") -> DataFrame:
+    """How many rows hold each day from start to end; days that none holds are left out.
+
+    Counts of beginnings and ends are summed along the days, so rows aren't expanded; what
+    stands in one task is a row for each day of the calendar.
+    """
+    held = df.where(F.col(start) <= F.col(end))
+    steps = held.select(F.explode(F.array(F.struct(F.col(start).alias(out), F.lit(1).alias("step")), F.struct(F.date_add(end, 1).alias(out), F.lit(-1).alias("step")))).alias("x"))
+    steps = steps.select("x.*").groupBy(out).agg(F.sum("step").alias("step"))
+    along = Window.orderBy(out)
+    runs = steps.select(out, F.sum("step").over(along).alias(n), F.lead(out).over(along).alias("_until")).where(F.col(n) > 0)
+    return runs.select(F.explode(F.sequence(F.col(out), F.date_sub("_until", 1))).alias(out), n)
+
+
 def expand_days(df: DataFrame, start: str, end: str, out: str = "day") -> DataFrame:
     """One row for each day from start to end; none where end is earlier or a date is missing."""
     return df.where(F.col(start) <= F.col(end)).withColumn(out, F.explode(F.sequence(start, end)))
@@ -162,14 +185,17 @@ def lengths(df: DataFrame, column: str) -> DataFrame:
 def next_key(df: DataFrame, key: str, out: str = "next_key") -> DataFrame:
     """(key, next): each distinct key with the one that follows it; the last has none.
 
-    Keys are dealt by range, so each partition orders its own; the first key of
-    every partition, a row each, closes the gaps between partitions.
+    Keys are dealt by bounds of about equal shares, so each range orders its
+    own; the first key of every range, a row each, closes the gaps between
+    them.  The bounds are values in the plan: whatever task runs again deals alike.
     """
     spark = df.sparkSession
     keys = df.select(key).dropna().distinct()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = keys.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    firsts = dealt.groupBy("_part").agg(F.min(key).alias("_first")).select(F.col("_part").alias("_p"), "_first")  # a row for each partition
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(keys.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)) if shares else F.array(F.lit(1.0)))).first()[0] or []))  # a value for each partition
+    dealt = keys.withColumn("_part", reduce(Column.__add__, ((F.col(key) > F.lit(b)).cast("int") for b in bounds), F.lit(0)))
+    firsts = dealt.groupBy("_part").agg(F.min(key).alias("_first")).select(F.col("_part").alias("_p"), "_first")  # a row for each range
     inside = dealt.withColumn(out, F.lead(key).over(Window.partitionBy("_part").orderBy(key)))
     gaps = firsts.alias("a").join(firsts.alias("b"), F.col("b._p") > F.col("a._p"), "left").groupBy("a._p").agg(F.min("b._first").alias("_after")).withColumnRenamed("_p", "_part")
     return inside.join(F.broadcast(gaps), "_part", "left").select(key, F.coalesce(out, "_after").alias(out))

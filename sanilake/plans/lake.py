@@ -16,15 +16,19 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import json
+import urllib.parse
 import uuid
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sanilake.functions import harmonised
 from sanilake.operators.relational import in_scope, in_scopes
 from sanilake.sources.schema import evolve
 
@@ -125,17 +129,27 @@ class Lake:
 
     def _commit(self, state: Snapshot) -> int:
         state.snapshot_id, state.committed_at = state.snapshot_id + 1, now()
-        path = self._path(f"{self.root}/_log/{state.snapshot_id:010d}.json")
-        try:
-            out = self._fs.create(path, False)  # fails if the file is there
-        except Exception as e:
-            raise WriterBusyError(f"snapshot {state.snapshot_id} was committed by another writer") from e
+        beside = self._path(f"{self.root}/_log/{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(beside, False)
         try:
             out.write(bytearray(json.dumps(asdict(state), sort_keys=True).encode()))
         finally:
             out.close()
+        self._rename(beside, self._path(f"{self.root}/_log/{state.snapshot_id:010d}.json"), state.snapshot_id)
         return state.snapshot_id
 
+    def _rename(self, beside, path, snapshot_id: int) -> None:
+        """Gives a written file its name, unless the name is taken: readers see all of a snapshot or nothing."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._fs.makeQualified(beside), self._fs.makeQualified(path), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(beside, False)
+            if self._fs.exists(path):
+                raise WriterBusyError(f"snapshot {snapshot_id} was committed by another writer") from e
+            raise
+
     @contextlib.contextmanager
     def transaction(self) -> Iterator[Snapshot]:
         """All changes inside become one snapshot, or none if an error leaves it."""
@@ -213,6 +227,34 @@ class Lake:
         with self.transaction() as state:
             return self._write(table, df, state, None)[1]
 
+    def publish_scopes(self, table: str, df: DataFrame, columns: Sequence[str], uri: str, parser_version: str, run_id: str) -> list[Publication]:
+        """Appends the rows of every scope that df has (values of `columns`) in one write, a record for each.
+
+        The source of a record is the scope's part of `uri`; its digest is that of the rows, in whatever order.
+        A run that is there already adds nothing.
+        """
+        with self.transaction() as state:
+            if any(p["run_id"] == run_id and p["table"] == table for p in state.publications):
+                return []
+            entry = state.tables.get(table)
+            schema = evolve(T.StructType.fromJson(entry["schema"]) if entry else None, df.schema)
+            folder = f"data/{table}/{uuid.uuid4().hex}"
+            parts = [F.col(c).cast("string").alias(f"of_{c}") for c in columns]  # the scope's columns stay in the files
+            df.select("*", *parts).repartition(*columns).write.option("compression", "zstd").partitionBy(*(f"of_{c}" for c in columns)).parquet(f"{self.root}/{folder}")
+            written = self.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{folder}")
+            row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+            inside = F.regexp_extract(F.input_file_name(), f"({folder}/.*)/[^/]*$", 1)
+            seen = written.groupBy(*columns, inside.alias("folder")).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", F.count("*"), F.bit_xor(row), F.bit_xor(F.xxhash64(row))), 256).alias("sha256"))
+            entry, made = state.tables.setdefault(table, {"folders": []}), []
+            entry["schema"] = schema.jsonValue()
+            for r in seen.collect():  # a row for each scope
+                scope, name = {c: r[c] for c in columns}, urllib.parse.unquote(r["folder"])
+                entry["folders"].append({"path": name, "scope": scope, "rows": r["n"]})
+                size = self._fs.getContentSummary(self._path(f"{self.root}/{name}")).getLength()
+                made.append(Publication(uuid.uuid4().hex, table, scope, r["sha256"], parser_version, r["n"], name, run_id, now(), sources=[asdict(SourceFile(uri, r["sha256"], size))]))
+            state.publications += [asdict(p) for p in made]
+        return made
+
     def _active(self, state: Snapshot, table: str, scope: dict) -> list[dict]:
         return [p for p in state.publications if p["table"] == table and p["active"] and within(p["scope"], scope)]
 
@@ -290,10 +332,11 @@ class Lake:
             state.attempts.append({"table": table, "scope": scope, "error": error, "run_id": run_id, "at": now()})
 
     def unchanged(self, table: str, scope: dict, files: Sequence[SourceFile], parser_version: str) -> bool:
-        """Whether one active publication has exactly these files, by the same parser."""
+        """Whether one active publication has exactly these files, by the same parser, and the table still its rows."""
         active = self._active(self.snapshot(), table, scope)
         key = [(f.uri, f.bytes, f.modified_at) for f in files]
-        return len(active) == 1 and active[0]["parser_version"] == parser_version and [(s["uri"], s["bytes"], s["modified_at"]) for s in active[0]["sources"]] == key
+        same = len(active) == 1 and active[0]["parser_version"] == parser_version and [(s["uri"], s["bytes"], s["modified_at"]) for s in active[0]["sources"]] == key
+        return same and self.table(table, scopes=[scope]).count() == active[0]["rows"]
 
     # -------------------------------------------------------------- upkeep
 
@@ -332,6 +375,29 @@ class Lake:
         return loose
 
 
+def read_harmonised(lake: Lake, table: str, scopes: Sequence[dict], rules: dict | None = None, formats: dict | None = None, snapshot_id: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of scopes at one snapshot with the harmonised columns that their sources were validated for.
+
+    Returns the rows, and by column why it is not there.  Scopes without a publication are warned of; if none has one,
+    LookupError.
+    """
+    snapshot_id = snapshot_id if snapshot_id is not None else lake.latest_snapshot_id()
+    if snapshot_id is None or table not in lake.tables(snapshot_id):
+        raise LookupError(f"no table {table!r}")
+    active = [p for p in lake.publications(table, snapshot_id) if p.active]
+    used = [p for p in active if any(within(p.scope, s) for s in scopes)]
+    missing = [s for s in scopes if not any(within(p.scope, s) for p in active)]
+    if not used:
+        raise LookupError(f"{table} has none of {list(scopes)}")
+    if missing:
+        warnings.warn(f"{table} has no publication of {missing}", stacklevel=2)
+    rows = lake.table(table, snapshot_id, scopes)
+    found = harmonised.projection(rules, rows.schema, [harmonised.Context(p.scope, p.release, p.sha256) for p in used], formats)
+    if found.unavailable:
+        warnings.warn(f"{table}: not available: {found.unavailable}", stacklevel=2)
+    return found.over(rows), found.unavailable
+
+
 def outdated(publications: DataFrame, listing: DataFrame) -> DataFrame:
     """Publications whose files differ from a server's listing; scopes that it no longer has aren't returned.
 
@@ -361,20 +427,15 @@ def check_identity(df: DataFrame, expected: dict[str, tuple[str, object]]) -> No
 
 
 def stream_publish(stream: DataFrame, lake: Lake, table: str, scope_columns: Sequence[str], parser_version: str, checkpoint: str):
-    """Publishes the scopes of a stream's batches; a batch that runs again replaces nothing twice.
+    """Publishes the scopes of a stream's batches; a batch that runs again adds nothing twice.
 
-    The micro-batch id is the run id: scopes of a batch that is already published are left out.
+    A run is a stream, known by its checkpoint, and a batch of it: streams with
+    checkpoints of their own can publish into one table.
     """
+    stream_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        run = f"batch-{batch_id}"
-        if any(p.run_id == run for p in lake.publications(table)):
-            return
-        scopes = [r.asDict() for r in batch.select(*scope_columns).distinct().collect()]  # a row for each scope
-        with lake.transaction():
-            for scope in scopes:
-                part = batch.where(in_scope(scope))
-                lake.publish(table, part, scope, [SourceFile(f"stream:{run}", hashlib.sha256(run.encode()).hexdigest(), 0)], parser_version, "append", run)
+        lake.publish_scopes(table, batch, scope_columns, f"stream:{checkpoint}#{batch_id}", parser_version, f"stream-{stream_id}-{batch_id}")
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -130,49 +130,117 @@ def stock_page(spark: SparkSession, records: Sequence[Mapping], limit: int = 100
 # ---------------------------------------------------------------- conversion tables
 
 
-def conversion_table(text: str) -> list[tuple[str, str, str]]:
-    """(first, last, label) of a tabulation table: label in columns 10 to 59, codes and ranges from 61.
+class ConversionError(ValueError):
+    """A conversion table or definition file that doesn't fit its layout."""
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where a line has its category, its label and its codes: places from 0, an end that is left out."""
+
+    category: slice
+    label: slice
+    codes: int
+
+
+#: The common layout, and that of tables whose heading begins with N.
+COMMON, WIDE = Layout(slice(3, 7), slice(9, 59), 60), Layout(slice(0, 9), slice(11, 111), 112)
+SHORT_CODE = 4  # characters up to which a later line takes a code over
 
-    first and last are equal for a single code.  The heading line holds how many digits codes have.
-    """
-    lines = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith(";")]
-    out = []
-    for line in lines[1:]:
-        label = line[9:59].strip()
-        for part in line[60:].split(","):
-            if part := part.strip():
-                first, _, last = part.partition("-")
-                out.append((first.strip(), (last or first).strip(), label))
-    return out
+
+@dataclass(frozen=True)
+class Conversion:
+    """A line: its codes as they are written, blanks included, and its ranges of numbers."""
+
+    category: int
+    label: str
+    codes: tuple[str, ...]
+    ranges: tuple[tuple[str, str], ...] = ()
 
 
-def expand_codes(rows: Sequence[tuple[str, str, str]], digits: int) -> dict[str, str]:
-    """Code -> label; of short codes the last line wins, long codes (over 4 digits) may not repeat."""
+def conversion_table(text: str) -> tuple[int, list[Conversion]]:
+    """(width of codes, lines) of a tabulation table.
+
+    A code with a hyphen between two characters that aren't blank is a range, of numbers only; with a blank or
+    nothing on one side it is a code as written.  A range of all long codes (000000-999999) stands for
+    whatever has no line and is left out.
+    """
+    rows = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith(";")]
+    heading = re.fullmatch(r"\s*(N\s+)?(\d+)\s+(\d+)(?:\s+\S+)*\s*", rows[0]) if rows else None
+    if heading is None:
+        raise ConversionError("no heading with the numbers of categories and of characters")
+    layout, width = WIDE if heading[1] else COMMON, int(heading[3])
+    return width, [_conversion(row, n, layout, width) for n, row in enumerate(rows[1:], 2)]
+
+
+def _conversion(row: str, line: int, layout: Layout, width: int) -> Conversion:
+    between, listed = row[layout.label.stop : layout.codes], row[layout.codes :]
+    category = row[layout.category].strip()
+    if not category.isdecimal() or (between.strip() and not listed.strip()):
+        raise ConversionError(f"line {line} does not fit the column layout")
+    label = (row[layout.label] + between).strip()  # a character before the codes belongs to the label
+    codes, ranges, reserve = [], [], False
+    for said in listed.rstrip("\r\n").split(","):
+        if said == "":
+            continue
+        sides = said.split("-")
+        if max(map(len, sides)) > width:
+            raise ConversionError(f"line {line}: {said!r} is wider than the declared {width}")
+        if re.search(r"\S-\S", said) is None:
+            codes.append(said if said.strip() else " " * width)
+        elif not re.fullmatch(r"[0-9]+-[0-9]+", said):
+            raise ConversionError(f"line {line}: non-numeric range {said!r}")
+        elif len(sides[0]) != len(sides[1]):
+            raise ConversionError(f"line {line}: a range of unequal width, {said!r}")
+        elif width > SHORT_CODE and sides == ["0" * width, "9" * width]:
+            reserve = True
+        else:
+            ranges.append((sides[0], sides[1]))
+    if reserve and not codes and not ranges:
+        raise ConversionError(f"line {line}: its only code is a reserve range")
+    return Conversion(int(category), label, tuple(codes), tuple(ranges))
+
+
+def expand_codes(lines: Sequence[Conversion], width: int) -> dict[str, str]:
+    """Code, without blanks at its end, -> label; of short codes the last line wins, long ones may not repeat."""
     out: dict[str, str] = {}
-    for first, last, label in rows:
-        codes = [first] if first == last else [str(n).zfill(len(first)) for n in range(int(first), int(last) + 1)] if first.isdigit() and last.isdigit() else None
-        if codes is None:
-            raise ValueError(f"a range of codes that aren't numbers: {first}-{last}; join by range instead")
-        for code in codes:
-            if code in out and digits > 4:
-                raise ValueError(f"{code} has two labels")
-            out[code] = label
+    for line in lines:
+        own = [c.rstrip() for c in line.codes]
+        own += [str(n).zfill(len(first)) for first, last in line.ranges for n in range(int(first), int(last) + 1)]
+        for code in own:
+            if code in out and width > SHORT_CODE:
+                raise ConversionError(f"long code {code!r} twice")
+            out[code] = line.label
     return out
 
 
+def range_codes(lines: Sequence[Conversion]) -> set[str]:
+    """Codes that only a range names."""
+    listed = {c.rstrip() for line in lines for c in line.codes}
+    return {str(n).zfill(len(a)) for line in lines for a, b in line.ranges for n in range(int(a), int(b) + 1)} - listed
+
+
 def conversion_ranges(spark: SparkSession, text: str) -> DataFrame:
-    """The same table as (first, last, label), for a range join."""
-    return spark.createDataFrame(conversion_table(text), "first string, last string, label string")
+    """The same table as (first, last, label, line), for a range join; of several lines the last one holds."""
+    _, lines = conversion_table(text)
+    rows = [(a, b, x.label, n) for n, x in enumerate(lines) for a, b in [*((c.rstrip(), c.rstrip()) for c in x.codes), *x.ranges]]
+    return spark.createDataFrame(rows, "first string, last string, label string, line int")
 
 
-def definition_lookups(text: str) -> list[dict[str, str]]:
-    """Entries of a definition file: kind, title, field, and the table that names its codes."""
+def definition_lookups(text: str) -> list[dict[str, str | int | None]]:
+    """Entries of a definition file that name a table: kind, title, field, start of the code (null if unknown), table.
+
+    A line that names a conversion table in another shape is an error.
+    """
     out = []
-    for line in text.splitlines():
-        if line[:1] in "LCSDXTI" and "," in line:
-            title, *rest = (x.strip() for x in line[1:].split(","))
-            if len(rest) >= 3:
-                out.append({"kind": line[0], "title": title, "field": rest[0].upper(), "start": rest[1], "table": rest[2].split("\\")[-1]})
+    for n, line in enumerate(text.splitlines(), 1):
+        kind, rest = line[:1], [x.strip() for x in line[1:].split(",")]
+        if not kind.strip() or kind == ";" or not re.search(r"\.(cnv|dbf)\s*$", line, re.I):
+            continue
+        if kind.upper() not in "LCSDXTI" or len(rest) != 4:
+            raise ConversionError(f"line {n} names a table in an unknown shape")
+        title, name, place, table = rest
+        out.append({"kind": kind, "title": title, "field": name.upper(), "start": int(place) if place.isdecimal() else None, "column": None if place.isdecimal() else place, "table": table})
     return out
 
 

@@ -153,13 +153,66 @@ def test_population(spark):
         twice.collect()
 
 
+def conversion_line(label, codes, category=1):
+    return f"{category:>7}  {label:<51}{codes}"
+
+
 def test_conversion_tables(spark):
-    line = lambda label, codes: " " * 9 + label.ljust(51) + codes
-    text = "\n".join(["  2 2", line("low", "01-03,07"), line("high", "08"), line("again", "07")])
-    assert files.expand_codes(files.conversion_table(text), 2) == {"01": "low", "02": "low", "03": "low", "07": "again", "08": "high"}
-    assert files.conversion_ranges(spark, text).count() == 4
-    with pytest.raises(ValueError):
-        files.expand_codes([("00001", "00001", "a"), ("00001", "00001", "b")], 5)
+    text = "\n".join(["  2 2", "; said by nobody", conversion_line("low", "01-03,07"), conversion_line("high", "08,0 "), conversion_line("again", "07"), conversion_line("blank", " ,  ")])
+    width, lines = files.conversion_table(text)
+    assert width == 2 and [x.category for x in lines] == [1, 1, 1, 1]
+    assert files.expand_codes(lines, width) == {"01": "low", "02": "low", "03": "low", "07": "again", "08": "high", "0": "high", "": "blank"}
+    assert files.range_codes(lines) == {"01", "02", "03"}
+    assert files.conversion_ranges(spark, text).count() == 7
+
+
+def test_conversion_codes_with_a_hyphen_are_kept_as_written():
+    _, lines = files.conversion_table("\n".join(["3 5", conversion_line("a", "  -99"), conversion_line("b", " -Z"), conversion_line("c", "0-,1-3")]))
+    assert [x.codes for x in lines] == [("  -99",), (" -Z",), ("0-",)] and lines[2].ranges == (("1", "3"),)
+
+
+def test_conversion_layouts():
+    full = "A" * 51
+    _, lines = files.conversion_table("1 6 L\n" + f"{9:>7}  {full}114405")
+    assert lines[0].label == full and lines[0].codes == ("114405",)
+    width, lines = files.conversion_table("N 2 2 L\n" + f"{7:<11}" + "Pediatric".ljust(101) + "07\n" + f"{8:<11}" + "Other".ljust(101) + "08-09")
+    assert (width, lines[0].label, files.expand_codes(lines, width)) == (2, "Pediatric", {"07": "Pediatric", "08": "Other", "09": "Other"})
+    reserve = "2 6\n" + conversion_line("none", "000000-999999,      ") + "\n" + conversion_line("one", "000001")
+    width, lines = files.conversion_table(reserve)
+    assert lines[0].codes == ("      ",) and files.expand_codes(lines, width) == {"": "none", "000001": "one"}
+
+
+@pytest.mark.parametrize(
+    ("heading", "body", "message"),
+    [
+        ("1 3", conversion_line("x", "A00-A09"), "non-numeric range"),
+        ("1 2", conversion_line("x", "1-A"), "non-numeric range"),
+        ("1 2", conversion_line("x", " 1-2,3"), "non-numeric range"),
+        ("1 2", conversion_line("x", "123"), "wider than the declared 2"),
+        ("1 2", conversion_line("x", " -999"), "wider than the declared 2"),
+        ("1 2", conversion_line("x", "0-99"), "unequal width"),
+        ("1 6", conversion_line("x", "000000-999999"), "only code is a reserve range"),
+        ("1 2", conversion_line("x", "")[:58] + " 1", "column layout"),
+        ("said", conversion_line("x", "1"), "no heading"),
+    ],
+)
+def test_conversion_tables_that_do_not_fit(heading, body, message):
+    with pytest.raises(files.ConversionError, match=message):
+        files.conversion_table(f"{heading}\n{body}\n")
+
+
+def test_a_long_code_twice():
+    width, lines = files.conversion_table("2 5\n" + conversion_line("a", "12345") + "\n" + conversion_line("b", "12345"))
+    with pytest.raises(files.ConversionError, match="twice"):
+        files.expand_codes(lines, width)
+
+
+def test_definition_lookups():
+    text = "\n".join([";X*old,OLD,1,OLD.CNV", "LSaida,cobranca,1,CNV\\SAIDA.CNV", "lSub,FAEC_TP,DS_TPFIN,CNV\\TP.CNV", "IValor,VAL"])
+    got = files.definition_lookups(text)
+    assert [(x["kind"], x["field"], x["start"], x["column"], x["table"]) for x in got] == [("L", "COBRANCA", 1, None, "CNV\\SAIDA.CNV"), ("l", "FAEC_TP", None, "DS_TPFIN", "CNV\\TP.CNV")]
+    with pytest.raises(files.ConversionError, match="unknown shape"):
+        files.definition_lookups("LTitle,FIELD,1,extra,CNV\\T.CNV")
 
 
 def test_establishments(spark):
