@@ -45,12 +45,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def unlike_byte_level(said: dict) -> list[str]:
+    """What a tokenizers JSON file asks for that isn't done here."""
+    model, split = said["model"], said.get("pre_tokenizer") or {}
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False, "byte_fallback": False}
+    wrong = [f"model {k} {model[k]!r}" for k, v in plain.items() if (model.get(k) or None) != (v or None)]
+    wrong += [f"normalizer {said['normalizer']!r}"] if said.get("normalizer") else []
+    if (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
+        wrong.append(f"pre_tokenizer {split!r}")
+    return wrong + [f"added token {x['content']!r}" for x in said["added_tokens"] if any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+
+
 class Bpe:
     """A byte-level merge list from a tokenizers JSON file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
+        if wrong := unlike_byte_level(said):
+            raise ValueError(f"{path} is no plain byte-level merge list: {wrong}")
         alphabet = byte_alphabet()
         as_bytes = lambda token: bytes(alphabet[c] for c in token)
         vocab = {as_bytes(t): i for t, i in said["model"]["vocab"].items()}
@@ -202,13 +215,13 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
     """Replaces the text by its ids: binary, little-endian unsigned 32-bit integers, and n_tokens.
 
     path: a tokenizers JSON file that every worker can open.  Null and empty
-    texts have no ids.  Repeated rows are encoded alike.
+    texts have no ids.  Repeated rows are encoded alike.  Bytes that are not UTF-8 count as U+FFFD.
     """
     fields = T.StructType([T.StructField(out, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def compute(s: textvec.Slice) -> list:
         bpe, raw = load(path), s.data.tobytes()
-        ids = [bpe.encode(raw[a:b].decode()) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
+        ids = [bpe.encode(raw[a:b].decode(errors="replace")) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
     return add_columns(docs, text, fields, compute, drop_text=True)

@@ -70,7 +70,7 @@ class CountViterbi:
         at = self.place.get(word)
         if at is None:
             at = self.place[word] = len(self.scores)
-            score, count = self.split(MARK + word.decode())
+            score, count = self.split(MARK + word.decode(errors="replace"))
             self.scores.append(score)
             self.counts.append(count)
         return at
