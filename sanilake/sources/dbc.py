@@ -202,7 +202,10 @@ def column(cells: np.ndarray, field: Field, encoding: str) -> pa.Array:
             return pa.array(values, mask=empty)
         return pa.array([number(x, whole) for x in raw.tolist()], pa.int64() if whole else pa.float64())
     if isinstance(kind, T.DateType):
-        return pa.array([None if not x.strip(b" 0\0") else datetime.datetime.strptime(x.decode("ascii"), "%Y%m%d").date() for x in raw.tolist()], pa.date32())
+        try:
+            return pa.array([None if not x.strip(b" 0\0") else datetime.datetime.strptime(x.decode("ascii"), "%Y%m%d").date() for x in raw.tolist()], pa.date32())
+        except ValueError as e:
+            raise DbfIntegrityError(f"a date of {field.name} is none: {e}") from e
     if isinstance(kind, T.BooleanType):
         return pa.array([True if x in b"TtYy" and x else False if x in b"FfNn" and x else None for x in raw.tolist()], pa.bool_())
     if field.kind in "I+":
@@ -236,6 +239,14 @@ def read_bytes(uri: str) -> bytes:
     return decompress(raw) if path.lower().endswith(".dbc") else raw
 
 
+def read_header(uri: str) -> bytes:
+    """The header of a DBF or DBC file, which neither packs."""
+    store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    with store.open_input_file(path) as file:
+        start = file.read(32)
+        return start + file.read(max(int.from_bytes(start[8:10], "little") - len(start), 0))
+
+
 def files(uri: str) -> list[str]:
     """Files of a path: itself, a folder's DBF and DBC files, or those that a pattern names."""
     out = []
@@ -264,7 +275,7 @@ class DbcDataSource(DataSource):
         found = files(self.options["path"])
         if not found:
             raise FileNotFoundError(self.options["path"])
-        return struct(layout(read_bytes(found[0])))
+        return struct(layout(read_header(found[0])))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return DbcReader(schema, dict(self.options))
