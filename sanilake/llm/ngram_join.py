@@ -226,8 +226,8 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     """
     docs_ = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     table = stored(sets_table(docs_, "text", rule, contents=False), "sets")
-    rows = table.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    members = stored(rows.join(several(rows, "node"), "key", "left_semi"), "members")
+    rows = table.select("node", F.explode("keys").alias("key")).repartition("key")  # read twice, shuffled once
+    members = stored(rows.join(several(rows, "node"), "key", "left_semi").distinct(), "members")
     chosen = members.select("node").distinct()
     first = table.groupBy("node").agg(F.min("id").alias("id")).join(chosen, "node", "left_semi").where("id is not null")
     again = docs_.join(first.select("id").distinct(), "id", "left_semi")
