@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -149,3 +150,73 @@ def test_op10(spark, documents):
         want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (len(words) < 20 or 100 * len(hit) > 30 * len(words)) and not (r["base_failed"] and r["kept"])
+
+
+def runs_by_force(words, least=24, exponent=3):
+    """Every start and period, straight from the definition."""
+    found, n = [], len(words)
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i + q - start
+            part = words[start : start + length]
+            if length >= max(least, exponent * q) and not any(part[r:] == part[:-r] for r in range(1, q)):
+                found.append((start, length, q))
+    return sorted(found)
+
+
+def test_op11(spark, documents):
+    got = {r["doc_id"]: r for r in run(spark, "op11_periodic_runs")}
+    assert set(got) == set(documents)
+    some = 0
+    for d, t in documents.items():
+        words, h = WORD.findall(t or ""), zlib.crc32(str(d).encode())
+        n, g = len(words), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        runs = runs_by_force(words)
+        gone = {i for start, length, q in runs for i in range(start + q, start + length)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+        r = got[d]
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *best)
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+        assert r["runs_sha256"] == sha("".join("%d,%d,%d\n" % x for x in runs))
+        assert r["collapsed_sha256"] == sha(" ".join(w for i, w in enumerate(words) if i not in gone))
+        some += len(runs)
+    assert some > 10
+
+
+def test_op12(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.execute(queries.ORACLE["op12_source_divergence"]).fetchall()
+    got = [tuple(r) for r in run(spark, "op12_source_divergence")]
+    assert len(got) > 100 and sorted(got) == sorted(want)
+
+
+def test_op13(spark, documents):
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    got, want, total = run(spark, "op13_bestfit_packing"), {}, 0
+    for d, t in documents.items():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            want[d, k] = (a, b - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:b])))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    inside = {}
+    for r in got:
+        inside.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in inside.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert len(inside) <= math.ceil(1.02 * math.ceil(total / 2048))
