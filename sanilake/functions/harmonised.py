@@ -32,7 +32,8 @@ class Context:
     sha256: str
 
     def key(self) -> tuple:
-        return tuple(self.scope.get(k) for k in ("uf", "ano", "mes")), self.release, self.sha256
+        """A national file's year and month are those of its source, `_source_ano` and `_source_mes`."""
+        return tuple(self.scope.get(k, self.scope.get(f"_source_{k}")) for k in ("uf", "ano", "mes")), self.release, self.sha256
 
 
 @dataclass

@@ -62,6 +62,30 @@ def link_in_steps(a: DataFrame, b: DataFrame, steps: Sequence[Sequence[str]], sh
     return Linkage(pairs, report.withColumn("pct_by_chance", chance))
 
 
+def unlinked_reasons(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(id, reason) of every record of a that no pair has: the first reason that applies.
+
+    In order: a key that is missing (each key by name, as given), a key that
+    several records of a share, one that no record of b has, one that several of b share, and
+    `linked otherwise` where the keys meet once on either side.  One pass over the
+    records with two counts; the keys are counted before they are joined.
+    """
+    names = list(keys)
+    counted = lambda df, n: df.dropna(subset=names).groupBy(*names).agg(F.count("*").alias(n))
+    left = a.join(pairs.select("id").distinct(), "id", "left_anti").select("id", *names)
+    flags = left.join(counted(a, "_in_a"), names, "left").join(counted(b, "_in_b"), names, "left")
+    reasons = [F.when(F.col(k).isNull(), f"no {k}") for k in names]
+    reasons += [F.when(F.col("_in_a") > 1, "several with these keys"), F.when(F.col("_in_b").isNull(), "not on the other side"), F.when(F.col("_in_b") > 1, "several on the other side")]
+    return flags.select("id", F.coalesce(*reasons, F.lit("linked otherwise")).alias("reason"))
+
+
+def reason_report(reasons: DataFrame) -> DataFrame:
+    """(reason, records, pct): the records add up to all that are unlinked."""
+    counts = reasons.groupBy("reason").agg(F.count("*").alias("records"))
+    total = counts.agg(F.sum("records").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).select("reason", "records", F.round(100.0 * F.col("records") / F.col("_all"), 1).alias("pct"))
+
+
 def detail(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs with the columns of both sides, those of b with the suffix _b."""
     return pairs.join(a, "id").join(b.select(*(F.col(f"`{c}`").alias(f"{c}_b") for c in b.columns)), "id_b")

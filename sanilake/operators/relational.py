@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sanilake.functions.text import as_text
 
@@ -122,6 +123,37 @@ def latest_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], columns
     return last.withColumn("variants", F.count("*").over(Window.partitionBy(*key)))
 
 
+def latest_guarded(df: DataFrame, key: Sequence[str], period: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The row of each key's latest period, behind a guard.
+
+    Equal rows of the latest period are one.  If it has rows that differ, or a
+    part of its period is missing, every read of the result stops, whatever columns it
+    reads: the guard is a filter over counts of the whole rows.  Null keys don't count.
+    Rows are compared where they are, so no key's rows are gathered: two aggregates, no window.
+    """
+    part = [F.col(c) for c in period]
+    # a missing part comes before all others, so it is the latest only where no row has it
+    at = F.struct(*(x for k, c in enumerate(part) for x in (c.isNotNull().alias(f"h{k}"), c.alias(f"p{k}"))))
+    rows = df.dropna(subset=list(key)).select(*key, *(c for c in columns if c not in key), at.alias("_at")).distinct()
+    last = rows.groupBy(*key).agg(F.max("_at").alias("_last"))
+    kept = rows.join(last, list(key)).where(F.col("_at") == F.col("_last"))
+    others = [c for c in columns if c not in key]
+    per = kept.groupBy(*key, "_last").agg(F.count("*").alias("_n"), F.min(F.struct(*others)).alias("_row"))
+    whole = F.lit(True)
+    for k in range(len(part)):
+        whole = whole & F.col(f"_last.h{k}")
+    guard = F.when((F.col("_n") == 1) & whole, True).otherwise(F.raise_error(F.lit(f"conflicting latest rows, or no {' or '.join(period)}")).cast("boolean"))
+    return per.where(guard).select(*key, *(F.col(f"_row.{c}").alias(c) for c in others))
+
+
+def register_latest(name: str, df: DataFrame, key: Sequence[str], period: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """latest_guarded() under a name for spark.sql(); refused now if the guard would stop a read."""
+    found = latest_guarded(df, key, period, columns)
+    found.select(*key).write.format("noop").mode("overwrite").save()
+    found.createOrReplaceTempView(name)
+    return found
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """old with new's rows in place of those with the same key."""
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
@@ -182,25 +214,104 @@ def lengths(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.length(as_text(column)).alias("length")).agg(F.count("*").alias("n"))
 
 
-def next_key(df: DataFrame, key: str, out: str = "next_key") -> DataFrame:
+def range_bounds(keys: DataFrame, key: str, parts: int, per_part: int = 20) -> list:
+    """Up to parts - 1 values that deal distinct keys into ranges of about equal shares.
+
+    They are quantiles of the per_part * parts keys with the smallest hashes: a
+    sample of a size that doesn't depend on the number of keys, and the same each time.
+    """
+    sample = [r[0] for r in keys.select(key).orderBy(F.xxhash64(key), key).limit(per_part * parts).collect()]
+    sample.sort()
+    return sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+
+
+def in_range(column: Column, bounds: Column, n: int) -> Column:
+    """How many of n sorted bounds lie below a value, by halving steps over one array."""
+    steps = [F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)]
+    if not n:
+        return F.lit(0)
+    return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < column, at + step).otherwise(at))
+
+
+def next_key(df: DataFrame, key: str, out: str = "next_key", parts: int | None = None) -> DataFrame:
     """(key, next): each distinct key with the one that follows it; the last has none.
 
-    Keys are dealt by bounds of about equal shares, so each range orders its
-    own; the first key of every range, a row each, closes the gaps between
-    them.  The bounds are values in the plan: whatever task runs again deals alike.
+    Keys are dealt into ranges (as many as shuffle partitions, unless given), so
+    each range orders its own; the first key of every range, a row each, closes
+    the gaps between them.  The bounds are one array in the plan, sought by
+    halving, so any number of ranges makes the same plan and whatever task runs again
+    deals alike.  Null keys don't count.
     """
     spark = df.sparkSession
     keys = df.select(key).dropna().distinct()
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(keys.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)) if shares else F.array(F.lit(1.0)))).first()[0] or []))  # a value for each partition
-    dealt = keys.withColumn("_part", reduce(Column.__add__, ((F.col(key) > F.lit(b)).cast("int") for b in bounds), F.lit(0)))
-    firsts = dealt.groupBy("_part").agg(F.min(key).alias("_first")).select(F.col("_part").alias("_p"), "_first")  # a row for each range
-    inside = dealt.withColumn(out, F.lead(key).over(Window.partitionBy("_part").orderBy(key)))
-    gaps = firsts.alias("a").join(firsts.alias("b"), F.col("b._p") > F.col("a._p"), "left").groupBy("a._p").agg(F.min("b._first").alias("_after")).withColumnRenamed("_p", "_part")
-    return inside.join(F.broadcast(gaps), "_part", "left").select(key, F.coalesce(out, "_after").alias(out))
+    parts = max(1, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = range_bounds(keys, key, parts)
+    kind = keys.schema[key].dataType.simpleString()
+    named = spark.createDataFrame([(bounds,)], f"bounds array<{kind}>").select(F.col("bounds").alias("_bounds"))  # one row
+    dealt = keys.select(F.col(key).alias("_key")).crossJoin(F.broadcast(named)).select("_key", in_range(F.col("_key"), F.col("_bounds"), len(bounds)).alias("_part"))
+    firsts = dealt.groupBy("_part").agg(F.min("_key").alias("_first"))  # a row for each range
+    after = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"))
+    inside = dealt.withColumn("_next", F.lead("_key").over(Window.partitionBy("_part").orderBy("_key")))
+    return inside.join(F.broadcast(after), "_part", "left").select(F.col("_key").alias(key), F.coalesce("_next", "_after").alias(out))
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows, columns matched by name, numbers widened to a common type, absent columns null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+#: Families of types in which the later one holds the earlier ones.
+LADDERS = (("boolean", "tinyint", "smallint", "int", "bigint", "float", "double"), ("date", "timestamp_ntz", "timestamp"))
+
+
+def supertype(kinds: Sequence[T.DataType]) -> T.DataType:
+    """The type that values of all given types are turned into.
+
+    Nulls take any type.  Whole numbers and booleans go to the widest of them;
+    with a float or double to double; with decimals to a decimal with room for both;
+    decimals and doubles to double.  Dates and timestamps go to the widest.  Equal arrays,
+    structs and the like stay.  Any other mix is text, as is a decimal that has no room.
+    """
+    real = list({k.json(): k for k in kinds if not isinstance(k, T.NullType)}.values())
+    if not real:
+        return T.NullType()
+    if len(real) == 1:
+        return real[0]
+    names = {k.simpleString() for k in real}
+    for ladder in LADDERS:
+        if names <= set(ladder):
+            top = max(names, key=ladder.index)
+            return T.DoubleType() if top in ("float", "double") else next(k for k in real if k.simpleString() == top)
+    decimals = [k for k in real if isinstance(k, T.DecimalType)]
+    rest = names - {k.simpleString() for k in decimals}
+    if decimals and rest <= {"boolean", "tinyint", "smallint", "int", "bigint"}:
+        digits = {"boolean": 1, "tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+        scale = max(k.scale for k in decimals)
+        whole = max([k.precision - k.scale for k in decimals] + [digits[n] for n in rest])
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    if decimals and rest <= set(LADDERS[0]):
+        return T.DoubleType()
+    return T.StringType()
+
+
+def concat_relaxed(frames: Sequence[DataFrame], absent: str = "refuse") -> DataFrame:
+    """All rows of all frames, each column in the supertype of its types over all frames.
+
+    Types are settled once for all frames, so their order doesn't matter.
+    Columns are matched by name, in the order of first appearance.  absent: `refuse`
+    a frame that lacks a column, or `null`.  Text of dates is ISO, that of decimals has
+    their scale, that of booleans is true or false.
+    """
+    kinds: dict[str, list[T.DataType]] = {}
+    for k, df in enumerate(frames):
+        if len(set(df.columns)) < len(df.columns):
+            raise ValueError(f"frame {k} has a column twice")
+        for f in df.schema:
+            kinds.setdefault(f.name, []).append(f.dataType)
+    for k, df in enumerate(frames):
+        if lacking := [c for c in kinds if c not in df.columns]:
+            if absent != "null":
+                raise ValueError(f"frame {k} has no column {lacking[0]!r}")
+    types = {c: supertype(k) for c, k in kinds.items()}
+    cast = [df.select(*((F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items())) for df in frames]
+    return reduce(DataFrame.unionAll, cast)

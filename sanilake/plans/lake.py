@@ -398,6 +398,32 @@ def read_harmonised(lake: Lake, table: str, scopes: Sequence[dict], rules: dict
     return found.over(rows), found.unavailable
 
 
+PUBLICATION = "publication_id string, table string, scope string, sha256 string, parser_version string, rows long, run_id string, published_at string, managed boolean, active boolean, release string, sources array<struct<uri: string, sha256: string, bytes: long, modified_at: string>>"
+
+
+def publication_table(lake: Lake, snapshot_id: int | None = None) -> DataFrame:
+    """The record of publications as of a snapshot, a row each, its sources in their order; read by Spark.
+
+    scope is text, the same for equal scopes.  A lake without a snapshot has no rows.
+    """
+    snapshot_id = snapshot_id if snapshot_id is not None else lake.pinned if lake.pinned is not None else lake.latest_snapshot_id()
+    if snapshot_id is None:
+        return lake.spark.createDataFrame([], PUBLICATION)
+    kind = T.StructType([T.StructField("publications", T.ArrayType(T._parse_datatype_string(PUBLICATION)))])
+    return lake.spark.read.schema(kind).json(f"{lake.root}/_log/{snapshot_id:010d}.json").select(F.explode("publications").alias("p")).select("p.*")
+
+
+def with_sources(publications: DataFrame, sources: DataFrame, key: str = "publication_id", position: str = "position") -> DataFrame:
+    """Each publication with an array of its sources by position; without any the array is empty.
+
+    One shuffle of the sources on the key; the publications are joined with the groups.
+    """
+    rest = [c for c in sources.columns if c not in (key, position)]
+    each = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(position, *rest))).alias("sources"))
+    empty = F.array().cast(each.schema["sources"].dataType)
+    return publications.join(each, key, "left").withColumn("sources", F.coalesce("sources", empty))
+
+
 def outdated(publications: DataFrame, listing: DataFrame) -> DataFrame:
     """Publications whose files differ from a server's listing; scopes that it no longer has aren't returned.
 

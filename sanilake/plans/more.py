@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +10,10 @@ from sanilake.operators import records
 from sanilake.operators import relational as rel
 from sanilake.plans.catalog import age_columns, register, table
 from sanilake.plans.lake import Lake, SourceFile, read_harmonised
+from sanilake.plans.scratch import scratch
 from sanilake.sources.files import file_scope
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where spark.checkpoint.dir is, or in tests in Spark's own temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = spark._jvm.java.lang.System.getProperty("java.io.tmpdir")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- persons, stays, births
 
 
@@ -97,13 +86,13 @@ def acts_of_stays(spark, sf_dir):
 
 
 @register("""
-WITH a AS (SELECT coalesce(c_mktsegment, '') AS s, coalesce(CAST(c_nationkey AS VARCHAR), '') AS n, c_custkey % 3 AS keep FROM customer),
-b AS (SELECT s, n, count(*) AS k FROM a WHERE keep = 0 GROUP BY 1, 2)
+WITH a AS (SELECT coalesce(c_mktsegment, '') AS s, coalesce(CAST(c_nationkey AS VARCHAR), '') AS n FROM customer),
+b AS (SELECT coalesce(c_mktsegment, '') AS s, coalesce(CAST(s_nationkey AS VARCHAR), '') AS n, count(*) AS k FROM supplier JOIN customer ON c_custkey = s_suppkey GROUP BY 1, 2)
 SELECT count(CASE WHEN k = 1 THEN 1 END) AS one, count(CASE WHEN k IS NULL THEN 1 END) AS "none", count(CASE WHEN k > 1 THEN 1 END) AS several FROM a LEFT JOIN b USING (s, n)
 """)
 def subset_matches(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    part = customers.where(F.col("c_custkey") % 3 == 0)
+    part = table(spark, sf_dir, "supplier").join(customers, F.col("c_custkey") == F.col("s_suppkey")).select("c_custkey", "c_mktsegment", F.col("s_nationkey").alias("c_nationkey"))
     return records.subset_matches(customers, part, ["c_custkey"])
 
 
@@ -189,57 +178,53 @@ def filename_decode(spark, sf_dir):
 
 
 def published_orders(spark: SparkSession, sf_dir: str) -> Lake:
-    """Orders of four months, published, one of them replaced and one deleted again."""
+    """Orders, every month a publication; a month of them replaced by part of its rows, and another deleted again."""
     lake = Lake(spark, scratch(spark, "lake"))
     day = F.col("o_orderdate")
     orders = table(spark, sf_dir, "orders").select(F.year(day).alias("ano"), F.month(day).alias("mes"), "o_orderkey", F.date_format(day, "ddMMyyyy").alias("dtobito"), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("9").alias("sexo"))
-
-    def publish(mes: int, keep: str, policy: str) -> None:
-        part = orders.where((day_range(1996, mes)) & F.expr(keep))
-        lake.publish("sim", part, {"ano": 1996, "mes": mes}, [SourceFile(f"mem:{mes}", f"{mes:064x}", 1)], "v1", policy, release="final")
-
-    def day_range(ano: int, mes: int):
-        return (F.col("ano") == ano) & (F.col("mes") == mes)
-
-    for mes in (1, 2, 3, 4):
-        publish(mes, "o_orderkey % 2 = 0", "error_if_exists")
-    publish(2, "true", "replace")
+    lake.publish_scopes("sim", orders, ["ano", "mes"], "mem:orders", "v1", "run-1")
+    again = {"ano": 1996, "mes": 2}
+    lake.publish("sim", orders.where("ano = 1996 and mes = 2 and sexo = '1'"), again, [SourceFile("mem:2", f"{2:064x}", 1)], "v1", "replace", release="final")
     lake.delete_scope("sim", {"ano": 1996, "mes": 3})
     return lake
 
 
 @register("""
-SELECT CAST(1996 AS INTEGER) AS ano, CAST(month(o_orderdate) AS INTEGER) AS mes, o_orderkey FROM orders
-WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-05-01' AND month(o_orderdate) <> 3 AND (month(o_orderdate) = 2 OR o_orderkey % 2 = 0)
+SELECT CAST(year(o_orderdate) AS INTEGER) AS ano, CAST(month(o_orderdate) AS INTEGER) AS mes, o_orderkey FROM orders
+WHERE NOT (year(o_orderdate) = 1996 AND (month(o_orderdate) = 3 OR month(o_orderdate) = 2 AND o_orderkey % 2 = 1))
 """)
 def publication_roundtrip(spark, sf_dir):
     return published_orders(spark, sf_dir).table("sim").select("ano", "mes", "o_orderkey")
 
 
-ANALYTICS = {
-    "sex": {"field": "sexo", "categories": {"1": "masculino", "2": "feminino", "9": None}},
-    "dates": ["dtobito"],
-    "validated_sources": [{"uf": None, "ano": 1996, "mes": m, "release": "final", "source_sha256": f"{m:064x}"} for m in (1, 2)],
-}
+ANALYTICS = {"sex": {"field": "sexo", "categories": {"1": "masculino", "2": "feminino", "9": None}}, "dates": ["dtobito"]}
 
 
 @register("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'masculino' END AS sexo_categoria, CASE WHEN o_orderkey % 2 = 0 THEN 'valid' ELSE 'ignored' END AS sexo_status,
   CAST(o_orderdate AS DATE) AS dtobito_data, 'valid' AS dtobito_data_status FROM orders
-WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-03-01' AND (month(o_orderdate) = 2 OR o_orderkey % 2 = 0)
+WHERE NOT (year(o_orderdate) = 1996 AND (month(o_orderdate) = 3 OR month(o_orderdate) = 2 AND o_orderkey % 2 = 1))
 """)
 def harmonised_read(spark, sf_dir):
+    """Every month that is published, each a validated source."""
     lake = published_orders(spark, sf_dir)
-    rows, _ = read_harmonised(lake, "sim", [{"ano": 1996, "mes": m} for m in (1, 2)], ANALYTICS, {"dtobito": "ddMMyyyy"})
+    there = [p for p in lake.publications("sim") if p.active]
+    validated = [{"uf": None, **p.scope, "release": p.release, "source_sha256": p.sha256} for p in there]
+    rows, _ = read_harmonised(lake, "sim", [p.scope for p in there], ANALYTICS | {"validated_sources": validated}, {"dtobito": "ddMMyyyy"})
     return rows.select("o_orderkey", "sexo_categoria", "sexo_status", "dtobito_data", "dtobito_data_status")
 
 
 @register("""
-SELECT * FROM (VALUES ('dtobito_data', 'dtobito', 'unconfirmed_source_scope'), ('dtobito_data_status', 'dtobito', 'unconfirmed_source_scope'), ('sexo_categoria', 'sexo', 'unconfirmed_source_scope'), ('sexo_status', 'sexo', 'unconfirmed_source_scope')) t("column", source, reason)
+WITH m AS (SELECT DISTINCT year(o_orderdate) AS ano, month(o_orderdate) AS mes FROM orders WHERE NOT (year(o_orderdate) = 1996 AND month(o_orderdate) = 3))
+SELECT CAST(ano AS INTEGER) AS ano, CAST(mes AS INTEGER) AS mes, "column", why FROM m, (VALUES ('dtobito_data', 'dtobito'), ('sexo_categoria', 'sexo')) t("column", source), (SELECT 'unconfirmed_source_scope' AS why) WHERE NOT (ano = 1996 AND mes = 2)
 """)
 def harmonised_unavailable(spark, sf_dir):
-    """Sources that were not validated: each column with where it would come from, and why it is not there."""
-    schema = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("sexo"), F.col("o_orderpriority").alias("dtobito")).schema
-    found = harmonised.projection(ANALYTICS, schema, [harmonised.Context({"ano": 1996, "mes": 4}, "final", f"{4:064x}")], {"dtobito": "ddMMyyyy"})
-    rows = [(name, sources[0], why) for name, sources in harmonised.inputs(ANALYTICS).items() for first, why in found.unavailable.items() if name.startswith(first.split("_")[0])]
-    return spark.createDataFrame(rows, "column string, source string, reason string")
+    """The months of which no source was validated (all but the one published again): each column that is not there, and why."""
+    lake = published_orders(spark, sf_dir)
+    known = [{"uf": None, "ano": 1996, "mes": 2, "release": "final", "source_sha256": f"{2:064x}"}]
+    schema, found = lake.table("sim").schema, []
+    for p in lake.publications("sim"):
+        if p.active:
+            told = harmonised.projection(ANALYTICS | {"validated_sources": known}, schema, [harmonised.Context(p.scope, p.release, p.sha256)], {"dtobito": "ddMMyyyy"}).unavailable
+            found += [(p.scope["ano"], p.scope["mes"], c, why) for c, why in told.items() if why == "unconfirmed_source_scope"]
+    return spark.createDataFrame(found, "ano int, mes int, column string, why string")

@@ -4,23 +4,33 @@
     spark.read.format("dbc").option("encoding", "latin-1").load("/data/*.dbc")
 
 One file is one partition.  Files are read through pyarrow's file systems, so
-the path can be in any store that all executors reach.  Records become Arrow
-batches column by column.
+the path can be in any store that all executors reach.  A file is read, inflated
+and turned into Arrow batches a piece at a time, so a task's memory doesn't grow
+with it.  Several files are read as one once their headers have settled a schema.
 """
 
 from __future__ import annotations
 
 import datetime
 import functools
+import io
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any, BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
+from sanilake.sources.schema import with_library_columns
 
 BATCH_ROWS = 100_000
 ENCODINGS = ("latin-1", "cp1252", "ascii", "utf-8")
@@ -44,6 +54,10 @@ MATCH_EXTRA = (0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8)
 END_LENGTH = 519
 CODE_BITS = 13
 
+WINDOW = 4096  # how far copies of the format reach back
+IN_BYTES, OUT_BYTES = 1 << 16, 1 << 17  # read, and inflated, at a time
+BATCH_BYTES = 8 << 20  # of records in a batch
+
 
 def code_table(packed: bytes) -> list[tuple[int, int]]:
     """(symbol, bits) by the next 13 bits of the stream: canonical codes, stored inverted, first bit lowest."""
@@ -65,20 +79,36 @@ def code_tables() -> tuple[list, list, list]:
     return code_table(LITERAL_LENGTHS), code_table(MATCH_LENGTHS), code_table(DISTANCE_LENGTHS)
 
 
-def explode(data: bytes) -> bytes:
-    """Inflates a DCL imploded stream."""
-    if len(data) < 2:
-        raise DbcError("the compressed part is cut off")
+def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """Inflates a DCL imploded stream that comes in chunks.
+
+    Copies reach back WINDOW bytes at most, so no more than that and OUT_BYTES
+    of output are held, however long the stream is.
+    """
+    source = iter(chunks)
+    data = b""
+    while len(data) < 2:
+        more = next(source, b"")
+        if not more:
+            raise DbcError("the compressed part is cut off")
+        data += more
     coded, dictionary = data[0], data[1]
     if coded > 1 or dictionary not in (4, 5, 6):
         raise DbcError(f"not an imploded stream: {coded}, {dictionary}")
     literals, matches, distances = code_tables()
     out, at, end = bytearray(), 2, len(data)
-    held = bits = 0
+    held = bits = kept = 0  # kept: bytes at the front that were handed on and stay for copies
     while True:
-        while bits < 48 and at < end:
-            held |= int.from_bytes(data[at : at + 4], "little") << bits
-            took = min(4, end - at)
+        if bits < 48:
+            if len(out) > OUT_BYTES:
+                yield bytes(out[kept:])
+                del out[:-WINDOW]
+                kept = len(out)
+            while end - at < 8 and (more := next(source, b"")):
+                data, at = data[at:] + more, 0
+                end = len(data)
+            took = min(8, end - at)
+            held |= int.from_bytes(data[at : at + took], "little") << bits
             at, bits = at + took, bits + 8 * took
         if bits < 9:
             raise DbcError("the compressed part is cut off")
@@ -91,7 +121,8 @@ def explode(data: bytes) -> bytes:
             if size == END_LENGTH:
                 if bits < 0:
                     raise DbcError("the compressed part is cut off")
-                return bytes(out)
+                yield bytes(out[kept:])
+                return
             low = 2 if size == 2 else dictionary
             symbol, n = distances[held & 0x1FFF]
             distance = (symbol << low) + (held >> n & ((1 << low) - 1)) + 1
@@ -114,14 +145,27 @@ def explode(data: bytes) -> bytes:
             held, bits = held >> 9, bits - 9
 
 
+def explode(data: bytes) -> bytes:
+    """Inflates a DCL imploded stream that is held whole."""
+    return b"".join(inflate([data]))
+
+
 def decompress(raw: bytes) -> bytes:
-    """The DBF of a DBC: its header, four bytes that count for nothing, and an imploded body."""
-    if len(raw) < 33:
+    """The DBF of a DBC that is held whole: its header, four bytes that count for nothing, and an imploded body."""
+    return b"".join(unpacked(io.BytesIO(raw)))
+
+
+def unpacked(file: BinaryIO) -> Iterator[bytes]:
+    """The bytes of the DBF in a DBC file, as they are inflated."""
+    start = file.read(33)
+    if len(start) < 33:
         raise DbcError("too short for a header")
-    size = int.from_bytes(raw[8:10], "little")
-    if size < 33 or len(raw) < size + 4:
+    size = int.from_bytes(start[8:10], "little")
+    header = start + file.read(max(size - 33, 0))
+    if size < 33 or len(header) < size or len(file.read(4)) < 4:
         raise DbcError("cut off in the header")
-    return raw[:size] + explode(raw[size + 4 :])
+    yield header
+    yield from inflate(iter(lambda: file.read(IN_BYTES), b""))
 
 
 @dataclass(frozen=True)
@@ -215,34 +259,66 @@ def column(cells: np.ndarray, field: Field, encoding: str) -> pa.Array:
     return pa.array(micros, pa.timestamp("us"), mask=days[:, 0] == 0)
 
 
-def batches(dbf: bytes, encoding: str, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The records that aren't deleted; fails unless all declared ones are there."""
+def record_batches(chunks: Iterable[bytes], encoding: str, rows: int = BATCH_ROWS) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """(numbers from 0, records) of what isn't deleted in a DBF that comes in chunks.
+
+    Fails unless all declared records are there and the stream ends well; what
+    follows the last record isn't looked at.  A batch has BATCH_BYTES of records at most.
+    """
     if encoding not in ENCODINGS:
         raise ValueError(f"unknown encoding {encoding!r}")
-    found = layout(dbf)
-    if len(dbf) < found.header + found.records * found.record:
-        raise DbfIntegrityError(f"{found.records} records are declared, the file is too short")
-    table = np.frombuffer(dbf, np.uint8, found.records * found.record, found.header).reshape(found.records, found.record)
-    if not np.isin(table[:, 0], (0x20, 0x2A)).all():
-        raise DbfIntegrityError("a record has no deletion mark")
+    source, held = iter(chunks), bytearray()
+
+    def have(size: int) -> bool:
+        while len(held) < size:
+            more = next(source, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    if not have(32) or not have(int.from_bytes(held[8:10], "little")):
+        raise DbfIntegrityError("cut off in the header")
+    found = layout(bytes(held[: int.from_bytes(held[8:10], "little")]))
+    del held[: found.header]
     names = [f.name for f in found.fields]
+    rows = max(1, min(rows, BATCH_BYTES // found.record))
     for at in range(0, found.records, rows):
-        part = table[at : at + rows]
-        part = part[part[:, 0] == 0x20]
-        yield pa.RecordBatch.from_arrays([column(part[:, f.offset : f.offset + f.size], f, encoding) for f in found.fields], names=names)
+        n = min(rows, found.records - at)
+        if not have(n * found.record):
+            raise DbfIntegrityError(f"{found.records} records are declared, the file is too short")
+        part = np.frombuffer(bytes(held[: n * found.record]), np.uint8).reshape(n, found.record)
+        del held[: n * found.record]
+        if not np.isin(part[:, 0], (0x20, 0x2A)).all():
+            raise DbfIntegrityError("a record has no deletion mark")
+        numbers = np.flatnonzero(part[:, 0] == 0x20)
+        part = part[numbers]
+        columns = [column(part[:, f.offset : f.offset + f.size], f, encoding) for f in found.fields]
+        yield at + numbers, pa.RecordBatch.from_arrays(columns, names=names)
+    for _ in source:  # to the end, which a damaged stream doesn't have
+        pass
 
 
-def read_bytes(uri: str) -> bytes:
+def batches(dbf: bytes, encoding: str, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The records of a DBF that is held whole."""
+    for _, batch in record_batches([dbf], encoding, rows):
+        yield batch
+
+
+def opened(uri: str) -> BinaryIO:
     store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    with store.open_input_file(path) as file:
-        raw = file.read()
-    return decompress(raw) if path.lower().endswith(".dbc") else raw
+    return store.open_input_stream(path)
+
+
+def chunks_of(uri: str) -> Iterator[bytes]:
+    """The bytes of the DBF in a file, packed or not."""
+    with opened(uri) as file:
+        yield from unpacked(file) if uri.lower().endswith(".dbc") else iter(lambda: file.read(IN_BYTES), b"")
 
 
 def read_header(uri: str) -> bytes:
     """The header of a DBF or DBC file, which neither packs."""
-    store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    with store.open_input_file(path) as file:
+    with opened(uri) as file:
         start = file.read(32)
         return start + file.read(max(int.from_bytes(start[8:10], "little") - len(start), 0))
 
@@ -261,11 +337,195 @@ def files(uri: str) -> list[str]:
             out += [scheme + x.path for x in store.get_file_info(fs.FileSelector(path)) if x.path.lower().endswith((".dbc", ".dbf"))]
         else:
             out.append(one)
-    return sorted(out)
+    return sorted(out, key=in_part_order)
+
+
+def in_part_order(uri: str) -> list[tuple[bool, int, str]]:
+    """Names with their digits as numbers: part 2 before part 10."""
+    return [(x.isdigit(), int(x) if x.isdigit() else 0, x) for x in re.findall(r"\d+|\D+", uri)]
+
+
+# ---------------------------------------------------------------- several files, one schema
+
+
+class LayoutError(DbfIntegrityError):
+    """Files that are to be read as one don't fit together."""
+
+
+#: What fields of two types are read as; a whole number becomes the text of the number.
+COMMON = {frozenset(("bigint", "string")): T.StringType(), frozenset(("bigint", "double")): T.DoubleType()}
+DECLARED = {"string": T.StringType(), "date": T.StringType(), "number": T.DoubleType()}
+POSITION = T.StructType([T.StructField("_file", T.StringType()), T.StructField("_record", T.LongType())])
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    return a if a == b else COMMON.get(frozenset((a.simpleString(), b.simpleString())))
+
+
+def own_fields(header: bytes, uri: str) -> dict[str, T.DataType]:
+    """Types by column name, trimmed and in lower case."""
+    found: dict[str, T.DataType] = {}
+    for f in layout(header).fields:
+        name = f.name.strip().lower()
+        if name in found:
+            raise LayoutError(f"{uri}: two columns are named {name!r}")
+        found[name] = spark_type(f)
+    return found
+
+
+def settle(headers: Iterable[tuple[str, dict[str, T.DataType]]], drift: str = "refuse", declared: Mapping[str, str] | None = None) -> T.StructType:
+    """The schema of files read as one, from (file, its columns) in order.
+
+    drift `refuse`: all files have the same columns and types.  `widen`: columns
+    are those of any file, in order of appearance, null where a file has none; a
+    whole number joins text as its digits and decimals as a number.  Whatever
+    else differs is refused, by file and column.  Whole numbers that are declared
+    string or date become text, those declared number become doubles.
+    """
+    if drift not in ("refuse", "widen"):
+        raise ValueError(f"drift is refuse or widen, not {drift!r}")
+    kinds: dict[str, T.DataType] = {}
+    first: dict[str, str] = {}
+    start: tuple[str, dict] | None = None
+    for uri, own in headers:
+        start = start or (uri, own)
+        if drift == "refuse" and list(own.items()) != list(start[1].items()):
+            odd = next((c for c in [*own, *start[1]] if own.get(c) != start[1].get(c)), "the order of columns")
+            raise LayoutError(f"{uri} has another layout than {start[0]}: {odd}")
+        for name, kind in own.items():
+            both = common_type(kinds.get(name, kind), kind)
+            if both is None:
+                raise LayoutError(f"{uri}: column {name!r} is {kind.simpleString()}, in {first[name]} it is {kinds[name].simpleString()}")
+            kinds[name] = both
+            first.setdefault(name, uri)
+    for name, kind in kinds.items():
+        if kind == T.LongType():
+            kinds[name] = DECLARED.get((declared or {}).get(name, ""), kind)
+    return T.StructType([T.StructField(n, k, True) for n, k in kinds.items()])
+
+
+def fitted(batch: pa.RecordBatch, uri: str, schema: T.StructType) -> list[pa.Array]:
+    """The columns of a batch as the schema wants them."""
+    own = {n.strip().lower(): batch.column(k) for k, n in enumerate(batch.schema.names)}
+    if extra := [n for n in own if n not in {f.name.lower() for f in schema}]:
+        raise LayoutError(f"{uri}: column {extra[0]!r} isn't in the schema")
+    out = []
+    for f in schema:
+        kind = to_arrow_type(f.dataType)
+        have = own.get(f.name.lower())
+        if have is None:
+            out.append(pa.nulls(batch.num_rows, kind))
+        elif have.type == kind:
+            out.append(have)
+        elif pa.types.is_int64(have.type) and (pa.types.is_string(kind) or pa.types.is_float64(kind)):
+            out.append(have.cast(kind, safe=True))
+        else:
+            raise LayoutError(f"{uri}: column {f.name!r} is {have.type}, the schema has {f.dataType.simpleString()}")
+    return out
+
+
+def survey(spark: SparkSession, uri: str, tasks: int = 200) -> DataFrame:
+    """(part, file, place, name, kind, size, decimals, records) of every field of every header, read in parallel.
+
+    A file that can't be read has one row with an error instead.
+    """
+    found = files(uri)
+    schema = "part int, file string, place int, name string, kind string, size int, decimals int, records long, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, one in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                try:
+                    had = layout(read_header(one))
+                    rows += [(part, one, k, f.name.strip().lower(), f.kind, f.size, f.decimals, had.records, None) for k, f in enumerate(had.fields)]
+                except (OSError, ValueError) as e:
+                    rows.append((part, one, None, None, None, None, None, None, str(e)))
+            yield pa.RecordBatch.from_pylist([dict(zip(to_arrow_schema(kinds).names, r, strict=True)) for r in rows], schema=to_arrow_schema(kinds))
+
+    kinds = T._parse_datatype_string(schema)
+    listed = spark.createDataFrame(list(enumerate(found)), "part int, file string").repartition(max(1, min(tasks, len(found))))
+    return listed.mapInArrow(run, schema)
+
+
+def settled_schema(spark: SparkSession, uri: str, drift: str = "refuse", declared: Mapping[str, str] | None = None) -> T.StructType:
+    """settle() over a survey: Spark reads the headers and gathers them by what they declare.
+
+    What comes to the driver is one row for each different header, however many files have it.
+    """
+    fields = survey(spark, uri)
+    own = F.array_sort(F.collect_list(F.struct("place", "name", "kind", "decimals")))
+    each = fields.groupBy("part", "file").agg(own.alias("fields"), F.max("error").alias("error"))
+    kinds = each.groupBy("fields", "error").agg(F.min(F.struct("part", "file")).alias("first")).orderBy("first.part").collect()
+    headers = []
+    for r in kinds:
+        if r["error"]:
+            raise LayoutError(f"{r['first']['file']}: {r['error']}")
+        found: dict[str, T.DataType] = {}
+        for f in r["fields"]:
+            if f["name"] in found:
+                raise LayoutError(f"{r['first']['file']}: two columns are named {f['name']!r}")
+            found[f["name"]] = spark_type(Field(f["name"], f["kind"], 0, 0, f["decimals"]))
+        headers.append((r["first"]["file"], found))
+    if not headers:
+        raise FileNotFoundError(uri)
+    return settle(headers, drift, declared)
+
+
+def read_parts(spark: SparkSession, uri: str, drift: str = "refuse", declared: Mapping[str, str] | None = None, encoding: str = "latin-1", position: bool = False) -> DataFrame:
+    """All files of a path as one table, whose schema is settled from every header first.
+
+    position: adds _file and _record, by which rows can be put in the order of
+    the parts.  Columns are in lower case.
+    """
+    spark.dataSource.register(DbcDataSource)
+    schema = settled_schema(spark, uri, drift, declared)
+    if position:
+        schema = T.StructType([*schema, *POSITION])
+    return spark.read.format("dbc").schema(schema).option("encoding", encoding).option("position", str(position).lower()).load(uri)
+
+
+@dataclass(frozen=True)
+class Staged:
+    rows: int
+    bytes: int
+    files: int
+
+
+def stage(spark: SparkSession, uri: str, path: str, scope: Mapping[str, Any], release: str, declared: Mapping[str, str] | None = None, drift: str = "refuse", encoding: str = "latin-1") -> Staged:
+    """The parts of one scope as one Parquet folder with the library's columns.
+
+    It is written beside the path and takes its place at the end, so a part that
+    is damaged or doesn't fit leaves what was there.  Rows are those of all
+    headers less the deleted ones; every part is checked against its own header.
+    """
+    rows = with_library_columns(read_parts(spark, uri, drift, declared, encoding), dict(scope), release)
+    seen = Observation()
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, fresh_path = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    store = target.getFileSystem(conf)
+    try:
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(new)
+        size = store.getContentSummary(fresh_path).getLength()
+        if store.exists(target) and not store.delete(target, True):
+            raise OSError(f"{path} can't be replaced")
+        if not store.rename(fresh_path, target):
+            raise OSError(f"{path} can't be written")
+    finally:
+        store.delete(fresh_path, True)
+    return Staged(seen.get["n"], size, len(files(uri)))
+
+
+# ---------------------------------------------------------------- the data source
 
 
 class DbcDataSource(DataSource):
-    """format("dbc"): path, encoding (latin-1), rows in a batch (batchRows)."""
+    """format("dbc"): path, encoding (latin-1), rows in a batch (batchRows), drift (refuse or widen), position (true adds _file and _record).
+
+    Without a schema the headers of all files settle it, many at a time; read_parts()
+    lets Spark read them instead.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -275,7 +535,12 @@ class DbcDataSource(DataSource):
         found = files(self.options["path"])
         if not found:
             raise FileNotFoundError(self.options["path"])
-        return struct(layout(read_header(found[0])))
+        with ThreadPoolExecutor(16) as pool:
+            headers = list(pool.map(read_header, found))
+        settled = settle(((u, own_fields(h, u)) for u, h in zip(found, headers, strict=True)), self.options.get("drift", "refuse"))
+        names = {f.name.strip().lower(): f.name for f in layout(headers[0]).fields}  # as the first file writes them
+        settled = T.StructType([T.StructField(names.get(f.name, f.name), f.dataType, True) for f in settled])
+        return T.StructType([*settled, *POSITION]) if self.options.get("position") == "true" else settled
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return DbcReader(schema, dict(self.options))
@@ -294,8 +559,12 @@ class DbcReader(DataSourceReader):
         return [FilePartition(f) for f in files(self.options["path"])]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        dbf = read_bytes(partition.uri)
-        own = struct(layout(dbf))
-        if [(f.name, f.dataType) for f in own] != [(f.name, f.dataType) for f in self.schema]:
-            raise DbfIntegrityError(f"{partition.uri} has another layout than the first file")
-        yield from batches(dbf, self.options.get("encoding", "latin-1"), int(self.options.get("batchrows", BATCH_ROWS)))
+        """One file at a time, in memory that doesn't grow with it."""
+        position = self.options.get("position") == "true"
+        wanted = T.StructType([f for f in self.schema if not position or f.name not in POSITION.names])
+        uri, names = partition.uri, self.schema.names
+        for numbers, batch in record_batches(chunks_of(uri), self.options.get("encoding", "latin-1"), int(self.options.get("batchrows", BATCH_ROWS))):
+            own = dict(zip(wanted.names, fitted(batch, uri, wanted), strict=True))
+            if position:
+                own |= {"_file": pa.array([uri] * len(numbers), pa.string()), "_record": pa.array(numbers, pa.int64())}
+            yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names)

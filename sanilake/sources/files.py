@@ -163,9 +163,10 @@ def conversion_table(text: str) -> tuple[int, list[Conversion]]:
 
     A code with a hyphen between two characters that aren't blank is a range, of numbers only; with a blank or
     nothing on one side it is a code as written.  A range of all long codes (000000-999999) stands for
-    whatever has no line and is left out.
+    whatever has no line and is left out.  What follows a semicolon is a remark; lines of remarks or blanks don't count.
     """
-    rows = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith(";")]
+    said = (x.partition(";")[0].rstrip() if ";" in x else x for x in text.splitlines())
+    rows = [x for x in said if x.strip()]
     heading = re.fullmatch(r"\s*(N\s+)?(\d+)\s+(\d+)(?:\s+\S+)*\s*", rows[0]) if rows else None
     if heading is None:
         raise ConversionError("no heading with the numbers of categories and of characters")
@@ -174,46 +175,73 @@ def conversion_table(text: str) -> tuple[int, list[Conversion]]:
 
 
 def _conversion(row: str, line: int, layout: Layout, width: int) -> Conversion:
+    """One line.  A single character may stand before the codes and then belongs to the label."""
+
+    def refuse(why: str) -> ConversionError:
+        return ConversionError(f"line {line} {why}")
+
+    head, before_label = row[: layout.category.stop].strip(), row[layout.category.stop : layout.label.start]
     between, listed = row[layout.label.stop : layout.codes], row[layout.codes :]
-    category = row[layout.category].strip()
-    if not category.isdecimal() or (between.strip() and not listed.strip()):
-        raise ConversionError(f"line {line} does not fit the column layout")
-    label = (row[layout.label] + between).strip()  # a character before the codes belongs to the label
-    codes, ranges, reserve = [], [], False
-    for said in listed.rstrip("\r\n").split(","):
-        if said == "":
-            continue
-        sides = said.split("-")
-        if max(map(len, sides)) > width:
-            raise ConversionError(f"line {line}: {said!r} is wider than the declared {width}")
-        if re.search(r"\S-\S", said) is None:
+    if not (head.isdecimal() and not before_label.strip()) or (between.strip() and not listed.strip()):
+        raise refuse("does not fit the column layout")
+    codes, ranges, reserves = [], [], 0
+    for said in listed.removesuffix(",").split(",") if listed else []:
+        if max(len(side) for side in said.split("-")) > width:
+            raise refuse(f"has {said!r}, wider than the declared {width}")
+        if not re.search(r"\S-\S", said):  # blanks stand for one code, however many are written
             codes.append(said if said.strip() else " " * width)
-        elif not re.fullmatch(r"[0-9]+-[0-9]+", said):
-            raise ConversionError(f"line {line}: non-numeric range {said!r}")
-        elif len(sides[0]) != len(sides[1]):
-            raise ConversionError(f"line {line}: a range of unequal width, {said!r}")
-        elif width > SHORT_CODE and sides == ["0" * width, "9" * width]:
-            reserve = True
+            continue
+        numbers = re.fullmatch(r"([0-9]+)-([0-9]+)", said)
+        if numbers is None:
+            raise refuse(f"has a non-numeric range {said!r}")
+        first, last = numbers.groups()
+        if len(first) != len(last):
+            raise refuse(f"has a range of unequal width, {said!r}")
+        if width > SHORT_CODE and not first.strip("0") and not last.strip("9") and len(first) == width:
+            reserves += 1
         else:
-            ranges.append((sides[0], sides[1]))
-    if reserve and not codes and not ranges:
-        raise ConversionError(f"line {line}: its only code is a reserve range")
-    return Conversion(int(category), label, tuple(codes), tuple(ranges))
+            ranges.append((first, last))
+    if not codes and not ranges:
+        raise refuse("says that its only code is a reserve range" if reserves else "has no codes")
+    return Conversion(int(head), (row[layout.label] + between).strip(), tuple(codes), tuple(ranges))
 
 
 def expand_codes(lines: Sequence[Conversion], width: int) -> dict[str, str]:
-    """Code, without blanks at its end, -> label; of short codes the last line wins, long ones may not repeat."""
-    out: dict[str, str] = {}
+    """Code, without blanks at its end, -> label.
+
+    Of a short code the last line wins, a long one may not repeat.  Two codes that differ by blanks at
+    their ends only are refused.
+    """
+    written: dict[str, str] = {}
     for line in lines:
-        own = [c.rstrip() for c in line.codes]
-        own += [str(n).zfill(len(first)) for first, last in line.ranges for n in range(int(first), int(last) + 1)]
-        for code in own:
-            if code in out and width > SHORT_CODE:
+        for code in [*line.codes, *(str(n).zfill(len(a)) for a, b in line.ranges for n in range(int(a), int(b) + 1))]:
+            if code in written and width > SHORT_CODE:
                 raise ConversionError(f"long code {code!r} twice")
-            out[code] = line.label
+            written[code] = line.label
+    out: dict[str, str] = {}
+    for code, label in written.items():
+        if code.rstrip() in out:
+            raise ConversionError(f"code {code.rstrip()!r} is written with and without blanks")
+        out[code.rstrip()] = label
     return out
 
 
+def related_labels(related: DataFrame, field: str, column: str) -> DataFrame:
+    """(code, label) of a table that a definition file relates to a field.
+
+    The key is the column named like the field, or the first one; names are
+    compared without case.  A code listed twice stops the query, whatever is read of it.
+    """
+    by_name = {c.strip().upper(): c for c in related.columns}
+    if column.upper() not in by_name:
+        raise ConversionError(f"the related table has no column {column!r}")
+    key = by_name.get(field.upper(), related.columns[0])
+    rows = related.select(F.rtrim(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("code"), F.btrim(F.col(f"`{by_name[column.upper()]}`").cast("string")).alias("label"))
+    per = rows.groupBy("code").agg(F.count("*").alias("n"), F.min("label").alias("label"))
+    once = F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.concat(F.lit(f"{key} is listed twice: "), F.col("code"))).cast("boolean"))
+    return per.where(once).select("code", "label")
+
+
 def range_codes(lines: Sequence[Conversion]) -> set[str]:
     """Codes that only a range names."""
     listed = {c.rstrip() for line in lines for c in line.codes}
@@ -270,7 +298,7 @@ def file_scope(name: Column, prefix: str, monthly: bool, national: str | None =
     """
     where = re.escape(national) if national is not None else "(?:" + "|".join(UFS) + ")"
     period = r"(\d{2})(\d{2})" if monthly else r"(\d{" + str(2 if national is not None else year_digits) + r"})()"
-    shape = rf"(?i)^{re.escape(prefix)}({where}){period}(?:_(\d+)|([a-z]))?\.db[cf]$"
+    shape = rf"(?i)\A{re.escape(prefix)}({where}){period}(?:_(\d+)|([a-z]))?\.db[cf]\z"
     year = F.regexp_extract(name, shape, 2).try_cast("int")
     if monthly or national is not None or year_digits == 2:
         year = F.when(year + 1900 >= first_year, year + 1900).otherwise(year + 2000)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sanilake.plans import catalog, more  # noqa: F401  more adds to the catalogue
+from sanilake.plans import catalog, metadata, more  # noqa: F401  the last two add to the catalogue
 
 DATA = os.environ.get("SANILAKE_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,4 +1,5 @@
 import struct
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -97,6 +98,118 @@ def test_numbers(values):
     assert got == values
 
 
+def copying(data: bytes, distance: int, size: int = 518) -> bytes:
+    """Imploded: data as literals, then copies from `distance` back, 40 of them, and the end code."""
+    bits = n = 0
+
+    def put(value: int, width: int) -> None:
+        nonlocal bits, n
+        bits |= value << n
+        n += width
+
+    def code(table, symbol):
+        found = next(k for k, (s, _) in enumerate(table) if s == symbol)
+        width = table[found][1]
+        put(found & ((1 << width) - 1), width)
+
+    _, matches, distances = dbc.code_tables()
+    for b in data:
+        put(b << 1, 9)
+    for _ in range(40):
+        put(1, 1)
+        code(matches, 15)
+        put(size - dbc.MATCH_BASE[15], 8)
+        code(distances, (distance - 1) >> 6)
+        put((distance - 1) & 63, 6)
+    put(1, 1)
+    code(matches, 15)
+    put(0xFF, 8)
+    return bytes([0, 6]) + bits.to_bytes(n // 8 + 1, "little")
+
+
+@pytest.mark.parametrize("distance", [1, 7, 600, 4096])
+@pytest.mark.parametrize("chunk", [1, 5, 4096])
+def test_inflating_in_chunks(distance, chunk, monkeypatch):
+    monkeypatch.setattr(dbc, "OUT_BYTES", 5000)  # many pieces
+    start = bytes(k * 7 % 251 for k in range(4200))
+    packed, want = copying(start, distance), bytearray(start)
+    for _ in range(40):
+        for _ in range(518):
+            want.append(want[-distance])
+    pieces = list(dbc.inflate(packed[k : k + chunk] for k in range(0, len(packed), chunk)))
+    assert b"".join(pieces) == bytes(want) and max(map(len, pieces)) < 5000 + 4096 + 3000
+    with pytest.raises(dbc.DbcError):
+        list(dbc.inflate([packed[:-2]]))
+
+
+def test_memory_of_a_task_does_not_grow_with_the_file(monkeypatch):
+    monkeypatch.setattr(dbc, "BATCH_BYTES", 1 << 16)
+    peaks = []
+    for n in (20_000, 200_000):
+        head = dbf([("A", "C", 20, 0), ("N", "N", 5, 0)], [])[:-1]
+        head = head[:4] + struct.pack("<I", n) + head[8:]
+        chunks = (c for c in [head, *[b" " + b"x" * 20 + b"   12"] * n])
+        tracemalloc.start()
+        rows = sum(b.num_rows for _, b in dbc.record_batches((x for x in chunks), "latin-1"))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 1.5 * peaks[0] + 2_000_000  # the list of chunks is shared objects, a pointer each
+
+
+def part(*columns, rows):
+    return dbf([(n, k, size, d) for n, k, size, d in columns], rows)
+
+
+def test_parts_with_drift_are_one_table(spark, tmp_path):
+    (tmp_path / "RDRR_2.dbc").write_bytes(as_dbc(part(("NUM_PROC", "N", 4, 0), ("VAL", "N", 3, 0), rows=[(b" 368", b" 12"), (b"    ", b"  7")])))
+    (tmp_path / "RDRR_10.dbc").write_bytes(as_dbc(part(("num_proc", "C", 4, 0), ("VAL", "N", 6, 2), ("NOVO", "C", 1, 0), rows=[(b"0489", b"  1.50", b"x")])))
+    df = dbc.read_parts(spark, str(tmp_path), drift="widen", position=True)
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("num_proc", "string"), ("val", "double"), ("novo", "string"), ("_file", "string"), ("_record", "bigint")]
+    got = sorted((dbc.in_part_order(r["_file"]), r["_record"], r["num_proc"], r["val"], r["novo"]) for r in df.collect())
+    assert [x[1:] for x in got] == [(0, "368", 12.0, None), (1, None, 7.0, None), (0, "0489", 1.5, "x")]
+    with pytest.raises(dbc.LayoutError, match="RDRR_10.*num_proc|RDRR_10.*val"):
+        dbc.read_parts(spark, str(tmp_path))
+    spark.dataSource.register(dbc.DbcDataSource)
+    assert spark.read.format("dbc").option("drift", "widen").load(str(tmp_path)).count() == 3
+    assert [dbc.files(str(tmp_path))[k].rsplit("_")[-1] for k in (0, 1)] == ["2.dbc", "10.dbc"]
+
+
+def test_parts_that_clash_are_named(spark, tmp_path):
+    (tmp_path / "a_1.dbf").write_bytes(part(("D", "D", 8, 0), rows=[(b"20240101",)]))
+    (tmp_path / "a_2.dbf").write_bytes(part(("D", "C", 8, 0), rows=[(b"20240101",)]))
+    with pytest.raises(dbc.LayoutError, match=r"a_2.*'d' is string.*a_1.*date"):
+        dbc.read_parts(spark, str(tmp_path), drift="widen")
+    (tmp_path / "a_2.dbf").write_bytes(part(("D", "D", 8, 0), ("d ", "C", 1, 0), rows=[]))
+    with pytest.raises(dbc.LayoutError, match="a_2.*two columns"):
+        dbc.read_parts(spark, str(tmp_path), drift="widen")
+    (tmp_path / "a_2.dbf").write_bytes(b"short")
+    with pytest.raises(dbc.LayoutError, match="a_2"):
+        dbc.read_parts(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        dbc.read_parts(spark, str(tmp_path / "*.none"))
+
+
+def test_staging_of_parts(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out" / "sih"
+    source.mkdir()
+    for k, n in ((1, 3), (2, 5)):
+        (source / f"BI_{k}.dbc").write_bytes(as_dbc(dbf([("PROC", "N", 4, 0), ("X", "N", 2, 0)], [(b" 368", b" 1")] * n, deleted={0})))
+    scope = {"uf": "MG", "ano": 2024, "mes": 12}
+    done = dbc.stage(spark, str(source), str(target), scope, "final", declared={"proc": "string", "x": "number"})
+    assert (done.rows, done.files) == (6, 2) and done.bytes > 0
+    rows = spark.read.parquet(str(target))
+    assert [(f.name, f.dataType.simpleString()) for f in rows.schema] == [("proc", "string"), ("x", "double"), ("uf", "string"), ("ano", "int"), ("mes", "int"), ("_source_release", "string")]
+    assert {tuple(r) for r in rows.collect()} == {("368", 1.0, "MG", 2024, 12, "final")}
+    raw = dbf([("PROC", "N", 4, 0), ("X", "N", 2, 0)], [(b" 368", b" 1")] * 4)
+    (source / "BI_3.dbc").write_bytes(as_dbc(raw[:4] + struct.pack("<I", 9) + raw[8:]))
+    with pytest.raises(Exception, match="9 records are declared"):
+        dbc.stage(spark, str(source), str(target), scope, "final", declared={"proc": "string"})
+    assert spark.read.parquet(str(target)).count() == 6 and [x.name for x in (tmp_path / "out").iterdir() if ".new-" in x.name] == []
+    empty = dbc.stage(spark, str(source / "BI_1.dbc"), str(target), scope, "prelim")
+    assert (empty.rows, spark.read.parquet(str(target)).count()) == (2, 2)
+
+
 def test_fixed_width(spark):
     layout = files.fixed_layout("Coluna,Tamanho,Inicio,Fim,Tipo\nCO,3,1,3,VARCHAR2\nQT,4,4,7,NUMBER\n")
     df = spark.createDataFrame([("a  0012",), ("bc     ",)], "value string")
@@ -124,6 +237,7 @@ def test_listing(spark):
         ("DOEXT22.dbc", {"prefix": "DOEXT", "monthly": False, "national": "", "first_year": 1996}, (None, 2022, None, None)),
         ("DOXX2023.dbc", {"prefix": "DO", "monthly": False}, None),
         ("RDRR2413.dbc", {"prefix": "RD", "monthly": True}, None),
+        ("RDRR2401.dbc\n", {"prefix": "RD", "monthly": True, "first_year": 2008}, None),
     ],
 )
 def test_file_names(spark, name, options, scope):
@@ -207,6 +321,27 @@ def test_a_long_code_twice():
         files.expand_codes(lines, width)
 
 
+def test_remarks_and_lines_that_are_refused(spark):
+    width, lines = files.conversion_table("1 2 ; remark\n\n" + conversion_line("low", "01;note") + "\n; 9\n")
+    assert width == 2 and lines[0].codes == ("01",)
+    for row, message in ((conversion_line("x", ""), "no codes"), (conversion_line("x", "1").replace("      1  ", "      1 x", 1), "column layout")):
+        with pytest.raises(files.ConversionError, match=message):
+            files.conversion_table(f"1 2\n{row}\n")
+    _, lines = files.conversion_table("2 2\n" + conversion_line("a", "0") + "\n" + conversion_line("b", "0 "))
+    with pytest.raises(files.ConversionError, match="with and without blanks"):
+        files.expand_codes(lines, 2)
+
+
+def test_related_tables(spark):
+    related = spark.createDataFrame([("01  ", " one "), ("02", None)], "COD string, DS_TPFIN string")
+    assert {tuple(r) for r in files.related_labels(related, "FAEC_TP", "ds_tpfin").collect()} == {("01", "one"), ("02", None)}
+    assert files.related_labels(related.withColumnRenamed("COD", "other").withColumn("faec_tp", F.lit("9")).limit(1), "FAEC_TP", "DS_TPFIN").first()[0] == "9"
+    with pytest.raises(Exception, match="listed twice"):
+        files.related_labels(related.union(related), "COD", "DS_TPFIN").select("code").collect()
+    with pytest.raises(files.ConversionError):
+        files.related_labels(related, "COD", "NONE")
+
+
 def test_definition_lookups():
     text = "\n".join([";X*old,OLD,1,OLD.CNV", "LSaida,cobranca,1,CNV\\SAIDA.CNV", "lSub,FAEC_TP,DS_TPFIN,CNV\\TP.CNV", "IValor,VAL"])
     got = files.definition_lookups(text)
