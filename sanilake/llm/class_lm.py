@@ -328,7 +328,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts are one token, the end.  Repeated rows score alike.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
-    partial = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {f.name for f in SCORED}))
+    others, weight_of, known_of = (fresh(docs, c) for c in ("rare", "rare_weight", "rare_known"))
+    partial = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField(others, T.ArrayType(T.LongType()))])
 
     def compute(s: textvec.Slice) -> list:
         m = sent.value
@@ -351,10 +353,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     row = fresh(docs, "row_no")
     first = stored(add_columns(docs.withColumn(row, F.monotonically_increasing_id()), text, partial, compute, drop_text=True), "scored")
-    rare = first.select(F.col(row), F.explode("rare").alias("key")).groupBy("key", row).agg(F.count("*").alias("tf"))
+    rare = first.select(F.col(row), F.explode(others).alias("key")).groupBy("key", row).agg(F.count("*").alias("tf"))
     found = rare.join(model.counts, "key", "left").select(row, "tf", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = found.groupBy(row).agg(F.sum(F.col("tf") * F.log10(F.col("n") + ADD)).alias("_weight"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("_known"))
+    sums = found.groupBy(row).agg(F.sum(F.col("tf") * F.log10(F.col("n") + ADD)).alias(weight_of), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias(known_of))
     joined = first.join(sums, row, "left")
-    weight, known = F.coalesce("_weight", F.lit(0.0)), F.coalesce("_known", F.lit(0))
+    weight, known = F.coalesce(weight_of, F.lit(0.0)), F.coalesce(known_of, F.lit(0))
     out = {"n_known": F.col("n_known") + known, "base_score": F.col("base_score") + weight, "score": F.col("score") + weight}
-    return joined.withColumns(out).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).drop("rare", "_weight", "_known", row)
+    return joined.withColumns(out).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).drop(others, weight_of, known_of, row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sanilake.llm.texts import stored
+from sanilake.llm.texts import discard, stored
 
 MOST_ROUNDS = 60  # far beyond the logarithm of any graph's size
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        discard(before)
         sums = now.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x"), F.expr("coalesce(bit_xor(xxhash64(v, u)), 0)").alias("y")).first()
         if tuple(sums) == seen:
             break

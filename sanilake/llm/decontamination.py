@@ -83,6 +83,10 @@ def in_stretches(flags: np.ndarray, bounds: np.ndarray, reach: int, least: int)
     return flags & (np.cumsum(steps[:-1]) > 0)
 
 
+#: Columns that an input's give way to.
+RESULTS = ("n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+
+
 @dataclass
 class Index:
     docs: DataFrame  # one row for each document row: row_no, n_words, and the columns of the input but the text
@@ -107,7 +111,9 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     any_short = bool(short_gate.any())
     kinds = windows(items, window).groupBy((F.col("size") < window).alias("short")).agg(F.min(F.size("terms")).alias("n")).collect()
     fewest = {r["short"]: r["n"] for r in kinds}  # distinct terms of a window
-    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("phrase", T.ArrayType(T.BooleanType()))])
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULTS))
+    term, place, phrase = (fresh(docs, c) for c in ("terms", "places", "phrase"))
+    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(term, T.ArrayType(T.LongType())), T.StructField(place, T.ArrayType(T.IntegerType())), T.StructField(phrase, T.ArrayType(T.BooleanType()))])
     unpacked: dict[int, np.ndarray] = {}
 
     def compute(s: textvec.Slice) -> list:
@@ -128,8 +134,8 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
     row_no = fresh(docs, "row_no")
     table = stored(add_columns(docs.withColumn(row_no, F.monotonically_increasing_id()), text, fields, compute, drop_text=True), "postings")
-    near = table.select(F.col(row_no).alias("row_no"), F.explode(F.arrays_zip("terms", "places", "phrase")).alias("p")).select(F.col("p.terms").alias("term"), "row_no", F.col("p.places").alias("pos"), "p.phrase")
-    return Index(table.drop("terms", "places", "phrase"), near.where("phrase").drop("phrase"), near.drop("phrase"), items, window, slop, row_no)
+    near = table.select(F.col(row_no).alias("row_no"), F.explode(F.arrays_zip(F.col(term).alias("term"), F.col(place).alias("pos"), F.col(phrase).alias("phrase"))).alias("p")).select("p.term", "row_no", "p.pos", "p.phrase")
+    return Index(table.drop(term, place, phrase), near.where("phrase").drop("phrase"), near.drop("phrase"), items, window, slop, row_no)
 
 
 def places(items: DataFrame) -> DataFrame:
@@ -204,11 +210,12 @@ def near_items(index: Index) -> DataFrame:
 
 
 def contamination(index: Index, keep_row: bool = False) -> DataFrame:
-    """Every document row with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """Every document row with n_words, n_hit, n_items, items_sha256 and contaminated; input columns with these names give way."""
     found = stored(phrases(index), "phrases")
     hit = found.select("row_no", F.explode(F.sequence("start", "end")).alias("pos")).groupBy("row_no").agg(F.countDistinct("pos").alias("n_hit"))
-    items = found.select("row_no", "item_id").distinct().groupBy("row_no").agg(F.array_sort(F.collect_list("item_id")).alias("_items"))
+    own = fresh(index.docs, "item_ids")
+    items = found.select("row_no", "item_id").distinct().groupBy("row_no").agg(F.array_sort(F.collect_list("item_id")).alias(own))
     seen = hit.join(items, "row_no").withColumnRenamed("row_no", index.row_no)
-    out = index.docs.join(seen, index.row_no, "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
-    out = out.withColumns({"n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", "_items").cast("binary"), 256), "contaminated": F.col("n_hit") > 0})
-    return out.drop("_items", *([] if keep_row else [index.row_no]))
+    out = index.docs.join(seen, index.row_no, "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), own: F.coalesce(own, F.array().cast("array<string>"))})
+    out = out.withColumns({"n_items": F.size(own).cast("long"), "items_sha256": F.sha2(F.concat_ws(",", own).cast("binary"), 256), "contaminated": F.col("n_hit") > 0})
+    return out.drop(own, *([] if keep_row else [index.row_no]))

@@ -121,8 +121,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, schema)
 
 
-def by_shard(rows: DataFrame, statement: str, schema: str) -> DataFrame:
-    """Runs a statement over `chunk`: whole terms of a shard, as many as make PENDING rows."""
+def by_shard(rows: DataFrame, statement: str, schema: str, pending: int = PENDING) -> DataFrame:
+    """Runs a statement over `chunk`: whole terms of a shard, as many as make `pending` rows, or one term."""
     kind = T._parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def by_shard(rows: DataFrame, statement: str, schema: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if count + batch.num_rows > PENDING and held:
+            if count + batch.num_rows > pending and held:
                 lang, term = batch.column("lang"), batch.column("term")
                 last = held[-1]
                 before = last.column("lang")[-1].as_py(), last.column("term")[-1].as_py()

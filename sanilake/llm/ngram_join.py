@@ -32,11 +32,12 @@ from pyspark.sql import types as T
 
 from sanilake.llm import textvec
 from sanilake.llm.components import components
-from sanilake.llm.texts import add_columns, stored
+from sanilake.llm.texts import add_columns, discard, recorded, stored
 
 GROWTH = 1.3  # of the largest size from one class to the next
 COLUMN_BITS = 3  # 8 blocks of columns, one multiplied after another
 PAIRS = 256  # pairs that are multiplied together
+MET = 1 << 20  # sets that a task remembers
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,12 @@ def node_value(own: np.ndarray) -> np.int64:
 
 
 def sets_table(docs: DataFrame, text: str, rule: Rule, contents: bool) -> DataFrame:
-    """Replaces the text by n_shingles, node (a value of the set) and its block keys, or its n-grams."""
+    """Replaces the text by n_shingles, node (a value of the set) and its block keys, or its n-grams.
+
+    A set that its task has met already has no block keys again, so copies of
+    one text send them once for each task, not for each copy.
+    """
+    met: set[int] = set()
     fields = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def compute(s: textvec.Slice) -> list:
@@ -122,9 +128,15 @@ def sets_table(docs: DataFrame, text: str, rule: Rule, contents: bool) -> DataFr
         tops = class_tops(int(np.diff(bounds).max(initial=0)) * rule.den // rule.num + 1)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own = np.unique(values[a:b])
+            node = int(node_value(own)) if len(own) else None
             sizes.append(len(own))
-            nodes.append(node_value(own) if len(own) else None)
-            keys.append(own if contents else np.concatenate([np.zeros(0, np.uint64), *(block_keys(own, len(own), tops, rule) if len(own) else [])]))
+            nodes.append(node)
+            again = node is None or node in met
+            keys.append(own if contents else np.concatenate([np.zeros(0, np.uint64), *([] if again else block_keys(own, len(own), tops, rule))]))
+            if node is not None and not contents:
+                if len(met) >= MET:
+                    met.clear()
+                met.add(node)
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.uint64), *keys])
         return [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(textvec.as_long(flat)))]
@@ -192,6 +204,36 @@ def several(members: DataFrame, by: str) -> DataFrame:
     return members.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select("key")
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """(node, key), each once, of the keys under which more than one node stands.
+
+    Rows are shuffled once by key and read in order, in batches: what is
+    held is a batch, however many nodes a key has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys)], names=["node", "key"])
+
+        held = np.zeros((2, 0), np.int64)  # the last row so far
+        linked = False  # whether the row before it has its key too
+        for batch in batches:
+            keys, nodes = (np.concatenate((h, batch.column(k).to_numpy())) for k, h in zip(("key", "node"), held, strict=True))
+            new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
+            keys, nodes = keys[new], nodes[new]
+            if not len(keys):
+                continue
+            with_next = np.append(keys[1:] == keys[:-1], False)
+            with_last = np.append(linked and held.size > 0, with_next[:-1])
+            keep = (with_next | with_last)[:-1]
+            yield out(keys[:-1][keep], nodes[:-1][keep])
+            held, linked = np.array([keys[-1:], nodes[-1:]]), bool(with_last[-1])
+        if linked:
+            yield out(*held)
+
+    return rows.select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node long, key long")
+
+
 def rare_meetings(nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of different roots that share an n-gram among the rarest of both.
 
@@ -217,7 +259,7 @@ def rare_meetings(nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds n_shingles, component_id and links to each row, in place of the text.
+    """doc_id, n_shingles, component_id and links of each row; its other columns are left out.
 
     component_id is the smallest doc_id of the component, the row's own if it
     has no links.  Null and empty texts have no shingles and no links.  Rows
@@ -225,9 +267,19 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     whether the row's set is linked with another, equal sets included.
     """
     docs_ = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    table = stored(sets_table(docs_, "text", rule, contents=False), "sets")
-    rows = table.select("node", F.explode("keys").alias("key")).repartition("key")  # read twice, shuffled once
-    members = stored(rows.join(several(rows, "node"), "key", "left_semi").distinct(), "members")
+    with recorded() as made:
+        table = stored(sets_table(docs_, "text", rule, contents=False), "sets")
+        members = stored(meetings(table.select("node", F.explode("keys").alias("key"))), "members")
+        rows = stored(table.drop("keys"), "rows")
+        discard(table)  # its keys are most of what this needs on disk
+        nodes = stored(components_of(docs_, rows, members, rule), "groups")
+    discard(*(t for t in made if t is not rows and t is not nodes))
+    named = rows.join(nodes, "node", "left")
+    return named.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("least_id", "id").alias("component_id"), (F.coalesce("rows", F.lit(1)) > 1).alias("links"))
+
+
+def components_of(docs_: DataFrame, table: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """(node, least_id, rows): for each set the smallest id of its component and how many rows that has."""
     chosen = members.select("node").distinct()
     first = table.groupBy("node").agg(F.min("id").alias("id")).join(chosen, "node", "left_semi").where("id is not null")
     again = docs_.join(first.select("id").distinct(), "id", "left_semi")
@@ -259,5 +311,4 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     nodes = table.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("rows"))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))  # one row for each set, however many documents have it
     ids = nodes.groupBy("root").agg(F.min("least_id").alias("least_id"), F.sum("rows").alias("rows"))
-    named = table.drop("keys").join(nodes.select("node", "root").join(ids, "root").select("node", "least_id", "rows"), "node", "left")
-    return named.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("least_id", "id").alias("component_id"), (F.coalesce("rows", F.lit(1)) > 1).alias("links"))
+    return nodes.select("node", "root").join(ids, "root").select("node", "least_id", "rows")

@@ -308,7 +308,9 @@ def plan(counts: dict[int, int], rule: Packing = Packing()) -> Plan:
         for column, times in configurations(sizes, demand, rule):
             slots = []
             parts = np.repeat(np.arange(len(column)), column).tolist()
-            for g in parts[: max(1, len(parts) - 1)]:
+            if len(parts) == 1:  # nothing stands beside it: it is placed with the rest
+                continue
+            for g in parts[:-1]:
                 own, need = [], times
                 while need:
                     s, n = queues[g].pop()

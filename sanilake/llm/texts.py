@@ -8,6 +8,7 @@ name of a result column gives way to the result.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,6 +64,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_records: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """Lists the tables that stored() writes meanwhile, so that they can be discarded together."""
+    made: list[DataFrame] = []
+    _records.append(made)
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -72,7 +87,10 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    for made in _records:
+        made.append(table)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
