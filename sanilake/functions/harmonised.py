@@ -7,6 +7,8 @@ checked.  A column is only offered for sources that were.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -40,6 +42,8 @@ class Context:
 class Projection:
     columns: list[tuple[str, Column]] = field(default_factory=list)
     unavailable: dict[str, str] = field(default_factory=dict)  # first column of a group -> why
+    rule_version: str | None = None
+    metadata_hash: str = ""  # of the rules, as canonical JSON
 
     def over(self, df: DataFrame) -> DataFrame:
         return df.select("*", *(c.alias(n) for n, c in self.columns))
@@ -66,17 +70,25 @@ def confirmed(contexts: Sequence[Context], validated: Sequence[Mapping[str, Any]
     return bool(contexts) and {c.key() for c in contexts} <= known
 
 
-def projection(rules: Mapping[str, Any] | None, schema: T.StructType, contexts: Sequence[Context], formats: Mapping[str, str] | None = None) -> Projection:
+def rules_hash(rules: Mapping[str, Any] | None) -> str:
+    """Pins the rules that a result was made by: SHA-256 of their canonical JSON."""
+    return hashlib.sha256(json.dumps(rules, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def projection(rules: Mapping[str, Any] | None, schema: T.StructType, contexts: Sequence[Context], formats: Mapping[str, str] | None = None, rule_version: str | None = None) -> Projection:
     """The columns that can be added to rows of a schema, and why others cannot.
 
-    formats: patterns of date fields.  Reasons: unsupported_dataset, unsupported_field,
+    formats: patterns of date fields.  rule_version: refuse rules of another version.  Reasons: unsupported_dataset, unsupported_field,
     missing_source_field, unconfirmed_source_scope, unsupported_date_format.  Columns whose names differ by case only, and
     harmonised names that are taken, are errors.
     """
     own = {f.name.lower(): f for f in schema.fields}
     if len(own) < len(schema.fields):
         raise ValueError("columns differ by case only")
-    out = Projection()
+    version = (rules or {}).get("version")
+    if rule_version is not None and rule_version != version:
+        raise ValueError(f"rules of version {rule_version} are asked for, these are {version}")
+    out = Projection(rule_version=version, metadata_hash=rules_hash(rules))
     if not rules:
         out.unavailable = dict.fromkeys((AGE[0], SEX[0]), "unsupported_dataset")
         return out

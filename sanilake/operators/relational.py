@@ -78,12 +78,29 @@ def mark(df: DataFrame, other: DataFrame, on: Sequence[str], flag: str) -> DataF
     return df.join(keys, list(on), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def range_join(df: DataFrame, value: str, ranges: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
-    """Left join of a value with the ranges that hold it; ranges are a caller's short list.
+MOST_RANGES = 100_000  # that are sent to all tasks
 
-    A value in no range keeps its row.  Use exactly_one() where one range is due.
+
+def range_join(df: DataFrame, value: str, ranges: DataFrame, first: str = "first", last: str = "last", most: int = MOST_RANGES) -> DataFrame:
+    """Left join of a value with the ranges that hold it.
+
+    A value in no range keeps its row, with nulls.  Use exactly_one() where one range is due.
+    Up to `most` ranges are sent to all tasks.  More are dealt, as the values are, into
+    stretches between bounds that are quantiles of where ranges begin; a range stands in
+    each stretch that it reaches, so only rows of one stretch meet.
     """
-    return df.join(F.broadcast(ranges), F.col(value).between(F.col(first), F.col(last)), "left")
+    holds = F.col(value).between(F.col(first), F.col(last))
+    if ranges.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(ranges), holds, "left")
+    spark = df.sparkSession
+    starts = ranges.select(first).dropna().distinct()
+    bounds = range_bounds(starts, first, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    kind = starts.schema[first].dataType.simpleString()
+    named = F.broadcast(spark.createDataFrame([(bounds,)], f"_bounds array<{kind}>"))  # one row
+    part = lambda c: in_range(F.col(c), F.col("_bounds"), len(bounds))
+    left = df.crossJoin(named).withColumn("_part", F.when(F.col(value).isNotNull(), part(value))).drop("_bounds")
+    right = ranges.where(F.col(first) <= F.col(last)).crossJoin(named).withColumn("_of", F.explode(F.sequence(part(first), part(last)))).drop("_bounds")
+    return left.join(right, (F.col("_part") == F.col("_of")) & holds, "left").drop("_part", "_of")
 
 
 def exactly_one(df: DataFrame, key: Sequence[str], what: str) -> DataFrame:
@@ -93,6 +110,42 @@ def exactly_one(df: DataFrame, key: Sequence[str], what: str) -> DataFrame:
     return df.withColumn("_ok", ok).where("_ok").drop("_ok")
 
 
+def one_row_each(df: DataFrame, key: Sequence[str], columns: Sequence[str], what: str) -> DataFrame:
+    """(key, columns) of keys that have one row; a key with more stops every read, whatever columns it reads.
+
+    By aggregation, so that no key's rows are gathered.
+    """
+    per = df.groupBy(*key).agg(F.count("*").alias("_n"), *(F.min(c).alias(c) for c in columns))
+    ok = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit(f"more than one {what} for a key")).cast("boolean"))
+    return per.where(ok).select(*key, *columns)
+
+
+def prefix_join(df: DataFrame, code: str, reference: DataFrame, prefix: str, n: int, suffix: str = "_ref") -> DataFrame:
+    """Left join of the first n characters of a code with a reference of such prefixes.
+
+    Codes are trimmed and compared in upper case; a shorter code joins with nothing.
+    A prefix that the reference has twice stops reads of its columns.  Columns of the
+    reference that df has too get a suffix.
+    """
+    cut = F.upper(F.btrim(as_text(code)))
+    key = F.when(F.length(cut) >= n, F.substring(cut, 1, n))
+    named = {c: c if c not in df.columns else c + suffix for c in reference.columns if c != prefix}
+    once = one_row_each(reference.withColumn("_prefix", F.upper(F.btrim(as_text(prefix)))), ("_prefix",), tuple(named), f"reference of {prefix}")
+    once = once.select("_prefix", *(F.col(f"`{c}`").alias(n_) for c, n_ in named.items()))
+    return df.withColumn("_prefix", key).join(once, "_prefix", "left").drop("_prefix")
+
+
+def difference(a: DataFrame, b: DataFrame, columns: Sequence[str], other: Sequence[str] | None = None) -> DataFrame:
+    """The distinct values of a's columns that b doesn't have; null is a value.  other: b's names for them."""
+    return a.select(*columns).subtract(b.select(*(F.col(f"`{o}`").alias(c) for c, o in zip(columns, other or columns, strict=True))))
+
+
+def absent_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
+    """Those of the wanted columns that a table doesn't have, compared without case and blanks, in their order."""
+    have = {c.strip().lower() for c in df.columns}
+    return [c for c in wanted if c.strip().lower() not in have]
+
+
 def days_held(df: DataFrame, start: str, end: str, out: str = "day", n: str = "n") -> DataFrame:
     """How many rows hold each day from start to end; days that none holds are left out.
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sanilake.functions import text
 from sanilake.functions.canonical import canonical_sha256
 from sanilake.operators import linkage
 from sanilake.operators import relational as rel
 from sanilake.plans.catalog import register, table
 from sanilake.plans.lake import with_sources
 from sanilake.plans.scratch import scratch
-from sanilake.sources import aggregates, vocabularies
+from sanilake.sources import aggregates, dbc, vocabularies
 from sanilake.sources.registry import DOCUMENT, FIELD, SOURCE, Registry
 
 # ---------------------------------------------------------------- canonical hashes
@@ -228,3 +229,108 @@ def unlinked_reasons(spark, sf_dir):
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), hundreds("s_acctbal"))
     keys = ["nation", "hundreds"]
     return linkage.reason_report(linkage.unlinked_reasons(a, b, linkage.link(a, b, keys), keys))
+
+
+@register("""
+SELECT p_partkey, label FROM part LEFT JOIN (VALUES ('STA', 'standard'), ('ECO', 'economy'), ('PRO', 'promo')) r(p, label) ON upper(left(trim(p_type), 3)) = p
+""")
+def prefix_join(spark, sf_dir):
+    chapters = spark.createDataFrame([("sta", "standard"), ("ECO", "economy"), ("PRO ", "promo")], "prefix string, label string")
+    return rel.prefix_join(table(spark, sf_dir, "part"), "p_type", chapters, "prefix", 3).select("p_partkey", "label")
+
+
+@register("""
+SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_acctbal BETWEEN s_acctbal AND s_acctbal + 40
+""")
+def range_join_dealt(spark, sf_dir):
+    """Ranges that are too many to be sent to all tasks, and that overlap."""
+    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("first"), (F.col("s_acctbal") + 40).alias("last"))
+    return rel.range_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", ranges, most=0).select("c_custkey", "s_suppkey")
+
+
+@register("""
+SELECT o_orderkey, r.chapter FROM orders JOIN (VALUES ('low', 0.0, 50000.0), ('mid', 50000.0000001, 200000.0), ('high', 200000.0000001, 1e12)) r(chapter, lo, hi) ON o_totalprice BETWEEN lo AND hi
+""")
+def one_chapter_each(spark, sf_dir):
+    """Each order is in exactly one chapter; two would stop the query."""
+    ranges = spark.createDataFrame([("low", 0.0, 50000.0), ("mid", 50000.0000001, 200000.0), ("high", 200000.0000001, 1e12)], "chapter string, first double, last double")
+    return rel.exactly_one(rel.range_join(table(spark, sf_dir, "orders"), "o_totalprice", ranges), ["o_orderkey"], "chapter").select("o_orderkey", "chapter")
+
+
+@register("SELECT c_custkey AS code FROM customer EXCEPT SELECT o_custkey FROM orders")
+def code_difference(spark, sf_dir):
+    return rel.difference(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code")), table(spark, sf_dir, "orders"), ["code"], ["o_custkey"])
+
+
+@register(r"""
+WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '', 's') AS u FROM pages)
+SELECT page_id, regexp_extract(u, '^([a-z]+):', 1) AS scheme, lower(regexp_extract(u, '^[a-z]+://([^/:]*)', 1)) AS host, nullif(regexp_extract(u, '^[a-z]+://[^/]*/(?:.*/)?([^/]*)$', 1), '') AS name,
+  CASE WHEN regexp_matches(u, '^[a-z]+://[^/]*/') THEN regexp_extract(u, '^[a-z]+://[^/]*(/.*)?/[^/]*$', 1) END AS folder FROM u
+""")
+def address_parts(spark, sf_dir):
+    parts = text.uri_parts(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", parts["scheme"].alias("scheme"), parts["host"].alias("host"), parts["name"].alias("name"), parts["folder"].alias("folder"))
+
+
+@register("""
+WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '  ' || p_size || ' ' WHEN 1 THEN p_size || ',0' WHEN 2 THEN p_size || '.5' WHEN 3 THEN '' ELSE p_size || 'x' END AS said FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN TRY_CAST(trim(said) AS BIGINT) WHEN 1 THEN TRY_CAST(replace(said, ',0', '') AS BIGINT) END AS whole, CASE WHEN p_partkey % 5 < 3 THEN TRY_CAST(replace(trim(said), ',', '.') AS DOUBLE) END AS number FROM t
+""")
+def loose_numbers(spark, sf_dir):
+    size, way = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    said = F.when(way == 0, F.concat(F.lit("  "), size, F.lit(" "))).when(way == 1, F.concat(size, F.lit(",0"))).when(way == 2, F.concat(size, F.lit(".5"))).when(way == 3, "").otherwise(F.concat(size, F.lit("x")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.loose_number(said).alias("whole"), text.loose_number(said, "double").alias("number"))
+
+
+# ---------------------------------------------------------------- DBC files
+
+
+def months_as_parts(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as DBC files of three layouts: keys as numbers, as text, and with a price beside them."""
+    spark.dataSource.register(dbc.DbcDataSource)
+    folder, orders = scratch(spark, "dbc"), table(spark, sf_dir, "orders")
+    day, key = F.to_date("o_orderdate").alias("DT"), F.col("o_orderkey")
+    layouts = [
+        orders.where("o_orderstatus = 'F'").select(key.alias("CHAVE"), day, (F.col("o_custkey") > 700).alias("ALTO")),
+        orders.where("o_orderstatus = 'O'").select(F.lpad(key.cast("string"), 12, "0").alias("CHAVE"), day, (F.col("o_custkey") > 700).alias("ALTO")),
+        orders.where("o_orderstatus not in ('F', 'O') or o_orderstatus is null").select(key.alias("chave"), day, (F.col("o_custkey") > 700).alias("alto"), F.col("o_totalprice").cast("decimal(14,2)").alias("PRECO")),
+    ]
+    for k, rows in enumerate(layouts):
+        rows.write.format("dbc").mode("append").option("width", 14).option("packed", str(k < 2).lower()).save(folder)
+    return folder
+
+
+@register("""
+SELECT CASE WHEN o_orderstatus = 'O' THEN lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS chave, CAST(o_orderdate AS DATE) AS dt, o_custkey > 700 AS alto,
+  CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS DOUBLE) END AS preco FROM orders
+""")
+def dbc_parts(spark, sf_dir):
+    """Files that drifted, read as one table: numbers meet text, and a column comes late."""
+    return dbc.read_parts(spark, months_as_parts(spark, sf_dir), drift="widen").select("chave", "dt", "alto", "preco")
+
+
+@register("""
+WITH o AS (SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE '-' END AS s, count(*) AS n FROM orders GROUP BY 1),
+f(s, name, kind, size, decimals) AS (VALUES ('F', 'chave', 'N', 18, 0), ('F', 'dt', 'D', 8, 0), ('F', 'alto', 'L', 1, 0), ('O', 'chave', 'C', 14, 0), ('O', 'dt', 'D', 8, 0), ('O', 'alto', 'L', 1, 0),
+  ('-', 'chave', 'N', 18, 0), ('-', 'dt', 'D', 8, 0), ('-', 'alto', 'L', 1, 0), ('-', 'preco', 'N', 16, 2))
+SELECT name, kind, CAST(size AS INTEGER) AS size, CAST(decimals AS INTEGER) AS decimals, CAST(sum(n) AS BIGINT) AS records FROM f JOIN o USING (s) GROUP BY ALL
+""")
+def dbc_headers(spark, sf_dir):
+    """Every field of every header, with the records that have it."""
+    return dbc.survey(spark, months_as_parts(spark, sf_dir)).groupBy("name", "kind", "size", "decimals").agg(F.sum("records").alias("records"))
+
+
+@register("""
+SELECT c_custkey AS codigo, c_name AS nome, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DOUBLE) AS saldo, 'RR' AS uf, CAST(2024 AS INTEGER) AS ano, 'final' AS release FROM customer
+""")
+def dbc_staged(spark, sf_dir):
+    """A scope's parts staged as one Parquet folder: a whole number declared text becomes text, and the library's columns are added."""
+    spark.dataSource.register(dbc.DbcDataSource)
+    folder, target = scratch(spark, "dbc"), scratch(spark, "staged")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("CODIGO"), F.col("c_name").alias("NOME"), F.col("c_acctbal").cast("decimal(12,2)").alias("SALDO"))
+    rows.write.format("dbc").mode("append").option("width", 30).save(folder)
+    done = dbc.stage(spark, folder, target, {"uf": "RR", "ano": 2024}, "final", declared={"codigo": "string"})
+    found = spark.read.parquet(target)
+    if done.rows != found.count() or found.schema["codigo"].dataType != T.StringType():
+        raise AssertionError("staging lost rows or types")
+    return found.select(F.col("codigo").cast("long").alias("codigo"), "nome", "saldo", "uf", "ano", F.col("_source_release").alias("release"))

@@ -24,10 +24,11 @@ from typing import Any, BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from sanilake.sources.schema import with_library_columns
@@ -305,11 +306,21 @@ def batches(dbf: bytes, encoding: str, rows: int = BATCH_ROWS) -> Iterator[pa.Re
         yield batch
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def opened(uri: str) -> BinaryIO:
-    store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    store, path = store_of(uri)
     return store.open_input_stream(path)
 
 
+def created(uri: str) -> BinaryIO:
+    store, path = store_of(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path)
+
+
 def chunks_of(uri: str) -> Iterator[bytes]:
     """The bytes of the DBF in a file, packed or not."""
     with opened(uri) as file:
@@ -327,7 +338,7 @@ def files(uri: str) -> list[str]:
     """Files of a path: itself, a folder's DBF and DBC files, or those that a pattern names."""
     out = []
     for one in uri.split(","):
-        store, path = fs.FileSystem.from_uri(one) if "://" in one or one.startswith("file:") else (fs.LocalFileSystem(), one)
+        store, path = store_of(one)
         scheme = one[: len(one) - len(path)] if one.endswith(path) else ""
         if "*" in path:
             base = path[: path.index("*")].rsplit("/", 1)[0]
@@ -517,6 +528,115 @@ def stage(spark: SparkSession, uri: str, path: str, scope: Mapping[str, Any], re
     return Staged(seen.get["n"], size, len(files(uri)))
 
 
+# ---------------------------------------------------------------- writing
+
+
+def written_field(field: T.StructField, width: int) -> Field:
+    """How a column is written: text in `width` bytes, whole numbers in 18 digits, doubles with 4 decimals, decimals as they are."""
+    kind = field.dataType
+    if isinstance(kind, T.IntegralType):
+        return Field(field.name, "N", 0, 18, 0)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return Field(field.name, "N", 0, 19, 4)
+    if isinstance(kind, T.DecimalType):
+        return Field(field.name, "N", 0, kind.precision + 2, kind.scale)
+    plain = {T.DateType: ("D", 8), T.BooleanType: ("L", 1), T.StringType: ("C", width)}
+    if type(kind) not in plain:
+        raise TypeError(f"column {field.name!r}: a DBF has no {kind.simpleString()}")
+    return Field(field.name, plain[type(kind)][0], 0, plain[type(kind)][1], 0)
+
+
+def cells(column: pa.Array, field: Field, encoding: str) -> np.ndarray:
+    """A column as fixed-width bytes; what doesn't fit is refused, null is blank."""
+    values = column.to_pylist()
+    if field.kind == "C":
+        said = ["" if v is None else v for v in values]
+    elif field.kind == "D":
+        said = ["" if v is None else f"{v:%Y%m%d}" for v in values]
+    elif field.kind == "L":
+        said = ["?" if v is None else "T" if v else "F" for v in values]
+    else:
+        said = ["" if v is None else f"{v:.{field.decimals}f}" if field.decimals else str(v) for v in values]
+    raw = [x.encode(encoding) for x in said]
+    if wide := next((x for x in raw if len(x) > field.size), None):
+        raise DbfIntegrityError(f"column {field.name!r}: {wide[:40]!r} is longer than {field.size} bytes")
+    raw = [x.rjust(field.size) if field.kind == "N" else x.ljust(field.size) for x in raw]
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), field.size)
+
+
+def dbf_header(fields: Iterable[Field], records: int) -> bytes:
+    fields = list(fields)
+    sizes = (records, 33 + 32 * len(fields), 1 + sum(f.size for f in fields))
+    out = bytes([3, 0, 1, 1]) + sizes[0].to_bytes(4, "little") + sizes[1].to_bytes(2, "little") + sizes[2].to_bytes(2, "little") + bytes(20)
+    for f in fields:
+        name = f.name.encode("latin-1")
+        if len(name) > 10:
+            raise DbfIntegrityError(f"column name {f.name!r} is longer than 10 bytes")
+        out += name.ljust(11, b"\0") + f.kind.encode() + bytes(4) + bytes([f.size, f.decimals]) + bytes(14)
+    return out + b"\r"
+
+
+def implode(body: bytes) -> bytes:
+    """An imploded stream of literals alone: valid, not small."""
+    bits = np.zeros((len(body), 9), np.uint8)  # a 0, then the byte, its lowest bit first
+    bits[:, 1:] = np.unpackbits(np.frombuffer(body, np.uint8)[:, None], axis=1, bitorder="little")
+    code, size = next((k, n) for k, (s, n) in enumerate(code_tables()[1]) if s == 15)
+    end = [1, *(code >> k & 1 for k in range(size)), *[1] * 8]
+    return bytes([0, 6]) + np.packbits(np.concatenate((bits.ravel(), np.array(end, np.uint8))), bitorder="little").tobytes() + b"\0"
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]  # where it lies, where it goes
+
+
+class DbcWriter(DataSourceArrowWriter):
+    """A task writes a file for each rowsPerFile rows, which is all that it holds; files get their names when all tasks are done."""
+
+    def __init__(self, schema: T.StructType, options: dict[str, str]) -> None:
+        self.fields = [written_field(f, int(options.get("width", 60))) for f in schema]
+        self.folder, self.encoding = options["path"].rstrip("/"), options.get("encoding", "latin-1")
+        self.rows, self.packed = int(options.get("rowsperfile", BATCH_ROWS)), options.get("packed", "true") == "true"
+        self.run = uuid.uuid4().hex
+
+    def file(self, records: list[np.ndarray], number: int) -> tuple[str, str]:
+        body = b"".join(x.tobytes() for x in records)
+        head, kind = dbf_header(self.fields, sum(len(x) for x in records)), "dbc" if self.packed else "dbf"
+        task = TaskContext.get()
+        at = f"{self.folder}/.{self.run}-{task.taskAttemptId()}-{number}"
+        with created(at) as out:
+            out.write(head + bytes(4) + implode(body) if self.packed else head + body + b"\x1a")
+        return at, f"{self.folder}/{self.run[:8]}_{task.partitionId()}_{number}.{kind}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        held, count, made = [], 0, []
+        for batch in iterator:
+            columns = [cells(c, f, self.encoding) for c, f in zip(batch.columns, self.fields, strict=True)]
+            records = np.concatenate([np.full((batch.num_rows, 1), 0x20, np.uint8), *columns], axis=1)
+            while len(records):
+                part, records = records[: self.rows - count], records[self.rows - count :]
+                held.append(part)
+                count += len(part)
+                if count == self.rows:
+                    made.append(self.file(held, len(made)))
+                    held, count = [], 0
+        if count or not made:
+            made.append(self.file(held or [np.zeros((0, 1), np.uint8)], len(made)))
+        return Written(made)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            for at, to in m.files if m else ():
+                store, path = store_of(at)
+                store.move(path, store_of(to)[1])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            for at, _ in m.files if m else ():
+                store, path = store_of(at)
+                store.delete_file(path)
+
+
 # ---------------------------------------------------------------- the data source
 
 
@@ -545,6 +665,12 @@ class DbcDataSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return DbcReader(schema, dict(self.options))
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DbcWriter:
+        """Adds files to a folder; options: packed (true: DBC), width of text, encoding, rowsPerFile."""
+        if overwrite:
+            raise ValueError("files are added, so the mode is append")
+        return DbcWriter(schema, dict(self.options))
+
 
 @dataclass
 class FilePartition(InputPartition):

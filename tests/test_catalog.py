@@ -11,6 +11,9 @@ from sanilake.plans import catalog, metadata, more  # noqa: F401  the last two a
 DATA = os.environ.get("SANILAKE_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Files of a format that Spark doesn't know are read in Python, in Arrow batches.
+IN_PYTHON = {"dbc_parts", "dbc_headers"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
 
@@ -49,5 +52,5 @@ def test_every_query_has_a_twin():
 def test_query(spark, db, name):
     got = catalog.QUERIES[name](spark, DATA)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "CartesianProduct" not in plan
+    assert ("Python" not in plan or name in IN_PYTHON) and "CartesianProduct" not in plan
     assert rows(got.toPandas()) == rows(db.execute(catalog.ORACLE[name]).df())

@@ -307,6 +307,16 @@ def test_guard_of_latest_rows(spark):
             rel.register_latest("latest_bad", df, ["k"], ["ano", "mes"], ["v", "w"])
 
 
+def test_range_joins_agree(spark):
+    rng = random.Random(2)
+    values = spark.createDataFrame([(k, rng.randrange(100)) for k in range(300)] + [(900, None)], "k int, v int")
+    ranges = spark.createDataFrame([(k, a, a + rng.randrange(-2, 30)) for k, a in enumerate(rng.randrange(110) for _ in range(60))] + [(99, None, 5), (98, 3, None)], "r int, first int, last int")
+    few, many = (sorted(map(tuple, rel.range_join(values, "v", ranges, most=m).collect()), key=str) for m in (1000, 0))
+    assert few == many and len(few) > 1000 and (900, None, None, None, None) in many
+    words = rel.range_join(spark.createDataFrame([("A10",), ("Z",)], "code string"), "code", spark.createDataFrame([("A00", "B99")], "first string, last string"), most=0)
+    assert sorted(map(tuple, words.collect())) == [("A10", "A00", "B99"), ("Z", None, None)]
+
+
 def test_reasons_of_unlinked_records(spark):
     a = spark.createDataFrame([(1, "p", 1), (2, None, 1), (3, "q", None), (4, None, None), (5, "r", 1), (6, "r", 1), (7, "s", 1), (8, "t", 1)], "id int, x string, y int")
     b = spark.createDataFrame([(1, "p", 1), (2, "t", 1), (3, "t", 1), (4, "r", 1)], "id int, x string, y int")

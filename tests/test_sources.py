@@ -157,6 +157,26 @@ def test_memory_of_a_task_does_not_grow_with_the_file(monkeypatch):
     assert peaks[1] < 1.5 * peaks[0] + 2_000_000  # the list of chunks is shared objects, a pointer each
 
 
+def test_written_files_read_back(spark, tmp_path):
+    spark.dataSource.register(dbc.DbcDataSource)
+    rows = spark.sql("SELECT id AS n, if(id = 3, null, concat('Jos\u00e9 ', id)) AS t, cast(id * 0.25 AS double) AS v, date_add(date '2024-02-28', cast(id AS int)) AS d, if(id = 4, null, id % 2 = 0) AS b, cast(-id AS decimal(6,2)) AS m FROM range(25)").repartition(3)
+    for packed in ("true", "false"):
+        folder = str(tmp_path / packed)
+        rows.write.format("dbc").mode("append").option("packed", packed).option("width", 12).option("rowsPerFile", 4).save(folder)
+        found = dbc.files(folder)
+        assert len(found) >= 7 and all(x.endswith(".dbc" if packed == "true" else ".dbf") for x in found)
+        got = dbc.read_parts(spark, folder)
+        assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "string", "double", "date", "boolean", "double"]
+        want = rows.withColumns({"m": F.col("m").cast("double"), "t": F.coalesce("t", F.lit(""))})
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        rows.where("n < 2").write.format("dbc").mode("append").option("packed", packed).option("width", 12).save(folder)
+        assert dbc.read_parts(spark, folder).count() == 27
+    for bad, message in ((rows.select("t"), "longer than 2"), (rows.select(F.array("n").alias("a")), "has no array"), (rows.select(F.col("n").alias("much_too_long")), "longer than 10")):
+        with pytest.raises(Exception, match=message):
+            bad.write.format("dbc").mode("append").option("width", 2).save(str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists() or dbc.files(str(tmp_path / "bad")) == []
+
+
 def part(*columns, rows):
     return dbf([(n, k, size, d) for n, k, size, d in columns], rows)
 
