@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sanilake.functions.text import as_text
+from sanilake.operators.relational import fresh
 
 
 def spells(df: DataFrame, person: str, also: Sequence[str], at: str) -> DataFrame:
@@ -35,18 +36,20 @@ def births(df: DataFrame, by: Sequence[str], twin: Column, least: Sequence[str])
 
 def register_check(df: DataFrame, code: str, register: DataFrame, elsewhere: Column) -> DataFrame:
     """One row: % of filled codes that a register has, distinct codes that it lacks, % of the rows with those that happened elsewhere."""
-    known = register.select(F.col(code)).where(F.col(code).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    mark = fresh("known", df)
+    known = register.select(F.col(code)).where(F.col(code).isNotNull()).distinct().withColumn(mark, F.lit(True))
     filled = df.where(F.col(code).isNotNull()).join(known, code, "left")
-    lost = F.col("_known").isNull()
+    lost = F.col(mark).isNull()
     pct = lambda part, whole: F.round(100.0 * F.count_if(part) / F.greatest(F.count_if(whole), F.lit(1)), 1)
     return filled.agg(pct(~lost, F.lit(True)).alias("pct_known"), F.countDistinct(F.when(lost, F.col(code))).alias("codes_outside"), pct(lost & elsewhere, lost).alias("pct_elsewhere"))
 
 
 def month_lag(a: DataFrame, b: DataFrame, key: str, month_a: str, month_b: str) -> DataFrame:
     """Pairs of an exact key by (year of b, months from a to b)."""
-    both = a.select(key, F.col(month_a).alias("_a")).join(b.select(key, F.col(month_b).alias("_b")), key)
+    one, two = ("a", "b") if key.lower() not in ("a", "b") else ("month_a", "month_b")
+    both = a.select(key, F.col(month_a).alias(one)).join(b.select(key, F.col(month_b).alias(two)), key)
     index = lambda c: F.year(c) * 12 + F.month(c)
-    return both.groupBy(F.year("_b").alias("year"), (index("_b") - index("_a")).alias("months")).agg(F.count("*").alias("pairs"))
+    return both.groupBy(F.year(two).alias("year"), (index(two) - index(one)).alias("months")).agg(F.count("*").alias("pairs"))
 
 
 def acts_of_stays(stays: DataFrame, acts: DataFrame, key: str, what: str, value: str) -> DataFrame:
@@ -67,8 +70,8 @@ def subset_matches(a: DataFrame, b: DataFrame, without: Sequence[str] = ()) -> D
     """
     shared = common_columns(a, b, without)
     plain = [F.coalesce(as_text(F.col(f"`{c}`")), F.lit("")).alias(c) for c in shared]
-    counted = b.select(*plain).groupBy(*shared).agg(F.count("*").alias("_n"))
-    n = F.coalesce("_n", F.lit(0))
+    counted = b.select(*plain).groupBy(*shared).agg(F.count("*").alias(count := fresh("n", a)))
+    n = F.coalesce(count, F.lit(0))
     return a.select(*plain).join(counted, shared, "left").agg(F.count_if(n == 1).alias("one"), F.count_if(n == 0).alias("none"), F.count_if(n > 1).alias("several"))
 
 
@@ -82,14 +85,16 @@ def with_record_id(df: DataFrame, out: str = "record_id") -> DataFrame:
     """A digest of the row's values as its id, with the number of the copy behind it.
 
     Spark's rows have no stable order, so an id says what a row holds and not where it stood;
-    equal rows are numbered, and it doesn't matter which is which.
+    equal rows are numbered, and it doesn't matter which is which.  Copies are counted where
+    they are and written out again from one of them, so a row's copies aren't gathered.  A column with the
+    name of the id gives way.
     """
-    from pyspark.sql import Window
-
-    said = [F.coalesce(F.concat(F.length(as_text(F.col(f"`{c}`"))), F.lit(":"), as_text(F.col(f"`{c}`"))), F.lit("-")) for c in df.columns]
-    digest = F.sha2(F.concat_ws(",", *said), 256)
-    copies = Window.partitionBy("_digest").orderBy("_digest")
-    return df.withColumn("_digest", digest).withColumn(out, F.concat("_digest", F.lit("-"), F.row_number().over(copies))).drop("_digest")
+    own = [c for c in df.columns if c.lower() != out.lower()]
+    said = [F.coalesce(F.concat(F.length(as_text(F.col(f"`{c}`"))), F.lit(":"), as_text(F.col(f"`{c}`"))), F.lit("-")) for c in own]
+    each = df.select(F.sha2(F.concat_ws(",", *said), 256).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))
+    each = each.groupBy("digest").agg(F.any_value("row").alias("row"), F.count("*").alias("copies"))
+    each = each.select("digest", "row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return each.select("row.*", F.concat("digest", F.lit("-"), F.col("copy").cast("string")).alias(out))
 
 
 def acceptance_audit(df: DataFrame, expected: Sequence[str], statuses: Mapping[str, Column], ages: tuple[Column, Column, Column] | None = None) -> DataFrame:

@@ -18,6 +18,14 @@ from pyspark.sql import types as T
 from sanilake.functions.text import as_text
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(column: Column | str, value: Any) -> Column:
     """Null-safe equality with a value."""
     return (F.col(column) if isinstance(column, str) else column).eqNullSafe(F.lit(value))

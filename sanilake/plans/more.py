@@ -114,8 +114,7 @@ def record_ids(spark, sf_dir):
 
 @register("SELECT o_orderstatus, year(o_orderdate) AS ano, count(*) AS n, min(o_totalprice) AS least FROM orders GROUP BY ALL ORDER BY ALL")
 def group_by_all(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_all")
-    return spark.sql("SELECT o_orderstatus, CAST(year(o_orderdate) AS BIGINT) AS ano, count(*) AS n, min(o_totalprice) AS least FROM orders_of_all GROUP BY ALL ORDER BY ALL")
+    return spark.sql("SELECT o_orderstatus, CAST(year(o_orderdate) AS BIGINT) AS ano, count(*) AS n, min(o_totalprice) AS least FROM {orders} GROUP BY ALL ORDER BY ALL", orders=table(spark, sf_dir, "orders"))
 
 
 # ---------------------------------------------------------------- rules

@@ -132,3 +132,15 @@ def test_age_domains(spark):
     assert [status(sih, v, u) for v, u in (("5", "2"), ("5", "3"), ("500", "4"), ("2147483647", "4"), ("2147483600", "5"))] == ["unsupported", "unsupported", "valid", "valid", "unsupported"]
     sinan = {"kind": "sinan", "units": {"2": {"unit": "day"}, "3": {"unit": "month", "maximum_value": 11}, "4": {"unit": "year", "minimum_value": 2}}}
     assert [status(sinan, v) for v in ("2099", "2100", "3011", "3012", "4001", "4002")] == ["valid", "unsupported", "valid", "unsupported", "unsupported", "valid"]
+
+
+def test_records_with_columns_of_inner_names(spark):
+    rows = spark.createDataFrame([("x", 1, {"a": 1}), ("x", 1, {"a": 1}), ("x", 1, {"a": 1}), ("y", None, None)], "digest string, copies int, row map<string,int>")
+    got = records.with_record_id(rows.withColumn("Record_Id", F.lit("old")))
+    ids = sorted(r["record_id"].rsplit("-", 1)[1] for r in got.where("digest = 'x'").collect())
+    assert got.columns == ["digest", "copies", "row", "record_id"] and ids == ["1", "2", "3"] and got.count() == 4
+    df = spark.createDataFrame([("1", "p"), ("2", "q"), (None, "r")], "known string, n string")
+    assert records.register_check(df, "known", df.where("n = 'p'").select("known"), F.col("n") == "q").first().asDict() == {"pct_known": 50.0, "codes_outside": 1, "pct_elsewhere": 100.0}
+    assert records.subset_matches(df, df.limit(1)).first().asDict() == {"one": 1, "none": 2, "several": 0}
+    days = spark.sql("SELECT 'k' AS a, date '2024-01-31' AS x, date '2024-03-01' AS y")
+    assert [tuple(r) for r in records.month_lag(days, days, "a", "x", "y").collect()] == [(2024, 2, 1)]
