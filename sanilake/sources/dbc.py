@@ -229,6 +229,23 @@ def number(raw: bytes, whole: bool) -> int | float | None:
     return exact
 
 
+PLAIN = np.zeros(256, bool)
+PLAIN[list(b"0123456789+-., \0")] = True
+
+
+def plain_dates(cells: np.ndarray, empty: np.ndarray) -> np.ndarray | None:
+    """Days of eight digits, year first; None if one is no such date."""
+    text = np.where(empty[:, None], np.frombuffer(b"19700101", np.uint8), cells)
+    if not ((text >= 0x30) & (text <= 0x39)).all() or (text[:, :4] == 0x30).all(axis=1).any():
+        return None
+    dashed = np.full((len(text), 10), ord("-"), np.uint8)
+    dashed[:, [0, 1, 2, 3, 5, 6, 8, 9]] = text
+    try:
+        return dashed.view("S10").ravel().astype("datetime64[D]")
+    except ValueError:
+        return None
+
+
 def column(cells: np.ndarray, field: Field, encoding: str) -> pa.Array:
     """A field of all records as an Arrow array; plain values are converted at once, the rest one by one."""
     raw = np.ascontiguousarray(cells).view(f"S{field.size}").ravel() if field.size else np.zeros(len(cells), "S1")
@@ -242,11 +259,17 @@ def column(cells: np.ndarray, field: Field, encoding: str) -> pa.Array:
         whole = isinstance(kind, T.LongType)
         text = np.char.strip(np.char.replace(raw, b"\0", b" "))
         empty = text == b""
-        if np.char.isdigit(text[~empty]).all() and field.size < 19:
-            values = np.where(empty, b"0", text).astype(np.int64 if whole else np.float64)
-            return pa.array(values, mask=empty)
+        if field.size < 19 and PLAIN[cells].all():  # signs, digits and points only
+            try:
+                values = np.where(empty, b"0", text if whole else np.char.replace(text, b",", b".")).astype(np.int64 if whole else np.float64)
+                return pa.array(values, mask=empty)
+            except ValueError:  # such as a whole number with decimals
+                pass
         return pa.array([number(x, whole) for x in raw.tolist()], pa.int64() if whole else pa.float64())
     if isinstance(kind, T.DateType):
+        empty = np.char.strip(raw, b" 0\0") == b""
+        if field.size == 8 and (found := plain_dates(cells, empty)) is not None:
+            return pa.array(found, pa.date32(), mask=empty)
         try:
             return pa.array([None if not x.strip(b" 0\0") else datetime.datetime.strptime(x.decode("ascii"), "%Y%m%d").date() for x in raw.tolist()], pa.date32())
         except ValueError as e:

@@ -230,6 +230,26 @@ def test_staging_of_parts(spark, tmp_path):
     assert (empty.rows, spark.read.parquet(str(target)).count()) == (2, 2)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([b"20240229", b"00000000", b"        ", b"19991231", b"\0" * 8, b"00010101", b"99991231"]), max_size=6))
+def test_dates(values):
+    got = [x for b in dbc.batches(dbf([("D", "D", 8, 0)], [(v,) for v in values]), "latin-1") for x in b.column(0).to_pylist()]
+    assert [None if x is None else f"{x:%Y%m%d}".rjust(8, "0") for x in got] == [None if not v.strip(b" 0\0") else v.decode() for v in values]
+
+
+@pytest.mark.parametrize("wrong", [b"20230229", b"2024-1-1", b"00001231", b"20241301", b"x       "])
+def test_dates_that_are_none(wrong):
+    with pytest.raises(dbc.DbfIntegrityError):
+        list(dbc.batches(dbf([("D", "D", 8, 0)], [(b"20240101",), (wrong,)]), "latin-1"))
+
+
+@pytest.mark.parametrize("text,whole,want", [(b"  -1.50", False, -1.5), (b"   1,25", False, 1.25), (b"    +7 ", True, 7), (b"   7.0 ", True, 7), (b"  ***  ", True, None), (b" \0 5   ", True, 5), (b"   1e2 ", False, 100.0)])
+def test_numbers_beside_others(text, whole, want):
+    rows = [(b"     12",), (text,), (b"       ",)]
+    got = [x for b in dbc.batches(dbf([("N", "N", 7, 0 if whole else 2)], rows), "latin-1") for x in b.column(0).to_pylist()]
+    assert got == [12, want, None]
+
+
 def test_fixed_width(spark):
     layout = files.fixed_layout("Coluna,Tamanho,Inicio,Fim,Tipo\nCO,3,1,3,VARCHAR2\nQT,4,4,7,NUMBER\n")
     df = spark.createDataFrame([("a  0012",), ("bc     ",)], "value string")
