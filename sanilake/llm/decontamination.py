@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sanilake.llm import textvec
-from sanilake.llm.texts import add_columns, fresh, stored
+from sanilake.llm.texts import add_columns, discard, fresh, recorded, stored
 
 WINDOW = 10
 SLOP = 5  # foreign words among those of a proximity match
@@ -204,7 +204,9 @@ def proximity(index: Index, slop: int | None = None) -> DataFrame:
 
 def near_items(index: Index) -> DataFrame:
     """contamination() with n_near_items: how many items have a window within the slop, exact ones included."""
-    near = stored(proximity(index).groupBy("row_no").agg(F.countDistinct("item_id").alias("n_near_items")), "near-items")
+    with recorded() as made:
+        near = stored(proximity(index).groupBy("row_no").agg(F.countDistinct("item_id").alias("n_near_items")), "near-items")
+    discard(*made[:-1])
     rows = contamination(index, keep_row=True).join(near.withColumnRenamed("row_no", index.row_no), index.row_no, "left")
     return rows.withColumn("n_near_items", F.coalesce("n_near_items", F.lit(0))).drop(index.row_no)
 
