@@ -453,6 +453,53 @@ def test_line_dedup_corpus_recall(docs):
     assert len(near) > 10 and sum(of[a] == of[b] for a, b in near) >= 0.9 * len(near)
 
 
+def test_line_dedup_crowded_keys(spark):
+    """Nodes under a key that are neither its first nor neighbours by SimHash; all share one key here."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for _ in range(60):
+        line = [word() for _ in range(rng.choice((12, 14)))]
+        other = list(line)
+        other[5] = "".join(rng.sample(other[5], len(other[5])))
+        texts += [" ".join(line), " ".join(other), " ".join(line[:5] + line[6:])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = line_dedup.lines_of(rows, "doc_id", "text")
+    nodes = {r["node"]: r["line"] for r in of.collect()}
+    keyed = line_dedup.features_of(of.select("node", "line")).selectExpr("1L as key", "node", "size", "simhash")
+    seen = line_dedup.first_look(keyed, 0.8)
+    first = {(nodes[r["a"]], nodes[r["b"]]) for r in line_dedup.met_at_first(seen).collect()}
+    crowds = line_dedup.divided(seen, line_dedup.met_at_first(seen).selectExpr("a as node", "a as root").where("false"))
+    rest = [(nodes[r["a"]], nodes[r["b"]]) for r in line_dedup.met_in_crowds(crowds, line_dedup.marks_of(of), 0.8).collect()]
+    size = {r["node"]: r["simhash"] for r in keyed.collect()}
+    hashes = {nodes[k]: v for k, v in size.items()}
+    near = lambda a, b: ((hashes[a] ^ hashes[b]) % 2**64).bit_count() <= line_dedup.NEAR
+    similar = {frozenset((a, b)) for a in hashes for b in hashes if a < b and near(a, b) and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert len(similar) > 100 and not similar <= {frozenset(x) for x in first}
+    assert similar <= {frozenset(x) for x in rest} and len(set(map(frozenset, rest))) == len(rest)
+    assert len(rest) < 2 * len(similar)  # words in common rule out most others
+
+
+def test_line_dedup_links_all_that_meet(spark, monkeypatch):
+    """Groups are those of every pair under a common key, however many others stand there."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(3, 8)))
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    texts = []
+    for _ in range(150):
+        line = [word() for _ in range(14)]
+        other = list(line)
+        for k in rng.sample(range(14), 2):
+            other[k] = "".join(rng.sample(other[k], len(other[k])))
+        texts += [" ".join(line), " ".join(other)]
+    features = line_dedup.features_of
+    monkeypatch.setattr(line_dedup, "features_of", lambda lines: features(lines).selectExpr("node", "size", "simhash", "array(7L) as keys"))
+    root = grouped(spark, texts)
+    hashes = [r["simhash"] for r in features(line_dedup.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").withColumn("node", F.col("doc"))).orderBy("node").collect()]
+    close = [(n, n + 1) for n in range(0, 300, 2) if ((hashes[n] ^ hashes[n + 1]) % 2**64).bit_count() <= line_dedup.NEAR and edits(texts[n], texts[n + 1]) <= 0.2 * max(len(texts[n]), len(texts[n + 1]))]
+    assert len(close) > 120 and all(root[a] == root[b] for a, b in close)
+
+
 def test_line_dedup_copies_and_letters(spark):
     long = "the quick river carried seven yellow barrels toward another harbour"
     typos = long.replace("quick", "quikc").replace("yellow", "yelow").replace("barrels", "barrals")
