@@ -36,6 +36,7 @@ CLASSES = 64
 ROUNDS = 8
 ADD = 0.1  # added to each count
 PULL = 20.0  # weight of the class's own share in its transitions
+SLOTS = 1 << 14  # neighbours of words that are weighed at once, each with a number for every class: 8 MB a table
 
 END = np.uint64(0x5EED0FE4D0C5E4D1)  # stands for the end of a text
 
@@ -226,15 +227,22 @@ def assigned(slots: np.ndarray, counts: np.ndarray, first: np.ndarray, pairs: np
     return np.argmax(gain - (f(out + n_after) - f(out)) - (f(into + n_before) - f(into)), axis=1)
 
 
+def assigned_in_parts(slots: np.ndarray, counts: np.ndarray, bounds: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """assigned() of some words at a time, with all slots of each: those that begin among the same SLOTS ones."""
+    cuts = np.append(np.flatnonzero(np.diff(bounds[:-1] // SLOTS, prepend=-1)), len(bounds) - 1)
+    parts = [assigned(slots[bounds[i] : bounds[j]], counts[bounds[i] : bounds[j]], bounds[i:j] - bounds[i], pairs) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def assign(neighbours: DataFrame, pairs: np.ndarray) -> DataFrame:
     """(w, class) from (w, slot, n)."""
 
     def choose(frames):
         for x in frames:
             sizes = x["slots"].map(len).to_numpy()
-            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            best = assigned(np.concatenate(x["slots"].to_list()), np.concatenate(x["ns"].to_list()).astype(float), first, pairs) if len(x) else []
-            yield pd.DataFrame({"w": x["w"], "class": best})
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            slots, ns = np.concatenate(x["slots"].to_list()), np.concatenate(x["ns"].to_list()).astype(float)
+            yield pd.DataFrame({"w": x["w"], "class": assigned_in_parts(slots, ns, bounds, pairs)})
 
     lists = neighbours.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("x")).select("w", F.col("x.slot").alias("slots"), F.col("x.n").alias("ns"))
     return lists.mapInPandas(choose, "w long, class long")

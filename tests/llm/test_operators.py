@@ -310,6 +310,38 @@ def test_class_lm(spark, docs, none):
     assert class_lm.score(docs, class_lm.fit(none)).where("abs(score) < 1e-9 and abs(base_score) < 1e-9").count() == len(corpus())
 
 
+def test_class_lm_assigns_in_bounded_memory(spark):
+    """A batch of words with many neighbours, weighed at once, took more than an executor's memory."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    size = class_lm.CLASSES + 1
+    pairs = rng.integers(0, 1000, (size, size)).astype(float)
+
+    class Neighbours:  # what the function inside a task is given
+        def groupBy(self, *_):
+            return self
+
+        agg = select = groupBy
+
+        def mapInPandas(self, choose, schema):
+            return choose
+
+    words = pd.DataFrame({"w": np.arange(4000), "slots": [rng.choice(2 * size, n, replace=False) for n in rng.integers(1, 120, 4000)]})
+    words["ns"] = [rng.integers(1, 50, len(x)) for x in words["slots"]]
+    choose = class_lm.assign(Neighbours(), pairs)
+    tracemalloc.start()
+    got = pd.concat(choose([words]))
+    taken = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken < 100e6 and got["w"].tolist() == list(range(4000))
+    alone = [class_lm.assigned(s, n.astype(float), np.array([0]), pairs)[0] for s, n in zip(words["slots"], words["ns"])]
+    assert got["class"].tolist() == alone
+
+
 def test_class_lm_sums_to_one(docs):
     import numpy as np
 
