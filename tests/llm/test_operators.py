@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sanilake.llm import bpe, chat, class_lm, components, decontamination, line_dedup, ngram_join, quality, token_counts, toxicity, warc
+from sanilake.llm.texts import likely_among
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -532,6 +533,43 @@ def test_line_dedup_links_all_that_meet(spark, monkeypatch):
     assert len(close) > 120 and all(root[a] == root[b] for a, b in close)
 
 
+def test_line_dedup_crowds_of_all_sizes(spark, monkeypatch):
+    """Keys with more nodes than a block and with fewer: a key of up to a block isn't dealt into bands."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(3, 8)))
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "NEAR", 64)
+    texts = []
+    for _ in range(40):
+        line = [word() for _ in range(rng.choice((6, 9, 12, 15)))]
+        other = list(line)
+        other[3] = "".join(rng.sample(other[3], len(other[3])))
+        texts += [" ".join(line), " ".join(other), " ".join([*line, word()])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = line_dedup.lines_of(rows, "doc_id", "text")
+    nodes = {r["node"]: r["line"] for r in of.collect()}
+    key = "if(doc < 90, 1L, if(doc < 105, 2L, 3L)) as key"  # 90 nodes, 15 nodes, 15 nodes
+    keyed = line_dedup.features_of(of.select("node", "line")).join(of.selectExpr("node", key), "node").select("key", "node", "size", "simhash")
+    crowds = line_dedup.divided(line_dedup.first_look(keyed, 0.8), spark.createDataFrame([], "node long, root long"))
+    assert {r["key"]: r["n"] for r in crowds.collect()} == {1: 90, 2: 15, 3: 15}
+    met = line_dedup.met_in_crowds(crowds, line_dedup.marks_of(of), 0.8)
+    rest = [frozenset((nodes[r["a"]], nodes[r["b"]])) for r in met.collect()]
+    keys = {nodes[r["node"]]: r["key"] for r in keyed.collect()}
+    similar = {frozenset((a, b)) for a in keys for b in keys if a < b and keys[a] == keys[b] and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert len(similar) > 60 and similar <= set(rest) and len(set(rest)) == len(rest)
+
+
+def test_likely_among(spark):
+    """All rows that are looked for, few others, and no shuffle of the rows."""
+    rows = spark.range(0, 2000).selectExpr("xxhash64(id) as k", "id")
+    chosen = rows.where("id % 10 = 0").select("k")
+    found = likely_among(rows, "k", chosen)
+    ids = {r["id"] for r in found.collect()}
+    assert found.columns == ["k", "id"] and ids >= set(range(0, 2000, 10)) and len(ids) < 220
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_line_dedup_copies_and_letters(spark):
     long = "the quick river carried seven yellow barrels toward another harbour"
     typos = long.replace("quick", "quikc").replace("yellow", "yelow").replace("barrels", "barrals")
