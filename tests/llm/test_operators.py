@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sanilake.llm import bpe, chat, class_lm, components, decontamination, line_dedup, ngram_join, quality, token_counts, toxicity, warc
+from sanilake.llm import texts as texts_module
 from sanilake.llm.texts import likely_among
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -559,6 +560,52 @@ def test_line_dedup_crowds_of_all_sizes(spark, monkeypatch):
     assert len(similar) > 60 and similar <= set(rest) and len(set(rest)) == len(rest)
 
 
+def test_line_dedup_stores_no_row_for_each_pair(spark, monkeypatch):
+    """150 lines say one passage of half of their words under every key: they are compared, but only links are written."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(3, 8)))
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(30)]) for _ in range(150)]
+    texts += [" ".join([*texts[k].split()[:60], *(word() for _ in range(10))]) for k in range(0, 150, 10)]
+    features, stored, made = line_dedup.features_of, line_dedup.stored, []
+    monkeypatch.setattr(line_dedup, "features_of", lambda lines: features(lines).selectExpr("node", "size", "simhash", "array(7L, 8L) as keys"))
+    monkeypatch.setattr(line_dedup, "NEAR", 64)
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name, **k: (made.append((name, (t := stored(df, name, **k)).count())), t)[1])
+    root = grouped(spark, texts)
+    n = len(texts)
+    norm = [" ".join(t.split()) for t in texts]
+    near = [(a, 150 + a // 10) for a in range(0, 150, 10) if edits(norm[a], norm[150 + a // 10]) <= 0.2 * max(len(norm[a]), len(norm[150 + a // 10]))]
+    assert len(near) > 10 and all(root[a] == root[b] for a, b in near) and len(set(root.values())) > 100
+    assert made and all(rows <= 4 * n for _, rows in made), made
+
+
+def test_line_dedup_letters_are_a_bound(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé 1") for _ in range(rng.randint(8, 14))) for _ in range(60)]
+    texts += [t[:3] + "x" + t[4:] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, line string").select("n", F.length("line").alias("size"), *line_dedup.letters_of("line"))
+    allowed = {tuple(r) for r in rows.alias("x").crossJoin(rows.alias("y")).where(line_dedup.letters_allow("x.", "y.", 0.6)).select("x.n", "y.n").collect()}
+    near = {(a, b) for a in range(120) for b in range(120) if edits(texts[a], texts[b]) <= 0.4 * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert len(near) > 240 and near <= allowed and len(allowed) < 120 * 120
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    def files():
+        return {f.name for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    table = texts_module.stored(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counts")
+    for _ in range(100):  # executors delete them on their own time
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert table.count() == 7 and not files() - before
+    assert spark.conf.get(texts_module.SHUFFLES_GO, None) != "true"
+
+
 def test_likely_among(spark):
     """All rows that are looked for, few others, and no shuffle of the rows."""
     rows = spark.range(0, 2000).selectExpr("xxhash64(id) as k", "id")
