@@ -570,6 +570,7 @@ def test_line_dedup_stores_no_row_for_each_pair(spark, monkeypatch):
     features, stored, made = line_dedup.features_of, line_dedup.stored, []
     monkeypatch.setattr(line_dedup, "features_of", lambda lines: features(lines).selectExpr("node", "size", "simhash", "array(7L, 8L) as keys"))
     monkeypatch.setattr(line_dedup, "NEAR", 64)
+    monkeypatch.setattr(line_dedup, "BLOCK", 32)
     monkeypatch.setattr(line_dedup, "stored", lambda df, name, **k: (made.append((name, (t := stored(df, name, **k)).count())), t)[1])
     root = grouped(spark, texts)
     n = len(texts)
