@@ -4,8 +4,8 @@ The index holds the postings (term, document, position) of the training texts
 for terms that test items use.  A posting can only be part of a window if its
 neighbours are test terms too, so positions outside runs of test terms as long
 as a window are left out; nothing that could match is.  Proximity matches may
-have foreign words between, so they have postings of their own: those in
-stretches of words that hold as many test terms as a window has.
+have foreign words between, so they have postings of their own: those within
+reach of a place where the three terms of a window that the fewest items have stand together.
 
 A window is looked up from its rarest term: the term's postings, shifted by
 its place in the item, say where the item could lie in a document, and the
@@ -71,15 +71,43 @@ def in_runs(flags: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.repeat(flags[first] & (size >= k), size)
 
 
-def in_stretches(flags: np.ndarray, bounds: np.ndarray, reach: int, least: int) -> np.ndarray:
-    """Which flags stand in a stretch of `reach` words of their row with `least` flags or more."""
-    sums = np.concatenate(([0], np.cumsum(flags)))
-    at = np.flatnonzero(flags)
-    rows = np.searchsorted(bounds, at, "right") - 1
-    full = sums[np.minimum(at + reach, bounds[rows + 1])] - sums[at] >= least  # a stretch can begin with a flag
+def leading(items: DataFrame, window: int) -> pa.Table:
+    """(t0, t1, t2), each once: of each window three terms that the fewest items have; fewer if it has fewer."""
+    df = items.select("item", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    asked = windows(items, window).select("item", "first", F.explode("terms").alias("term")).join(df, "term")
+    ranked = asked.groupBy("item", "first").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"))
+    return ranked.select(*(F.coalesce(F.get("terms.term", F.lit(k)), F.get("terms.term", F.lit(0))).alias(f"t{k}") for k in range(3))).distinct().toArrow()
+
+
+def pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = (a ^ (b >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed >> np.uint64(64 - GATE.bit_length() + 1)
+
+
+def lead_gates(lead: pa.Table) -> list[np.ndarray]:
+    """Filters of the first leading terms of windows, and of the pairs of these with the second and third ones."""
+    t = [lead[f"t{k}"].to_numpy().view(np.uint64) for k in range(3)]
+    out = [np.zeros(GATE, bool) for _ in t]
+    for gate, bits in zip(out, (t[0] & np.uint64(GATE - 1), pair_bits(t[0], t[1]), pair_bits(t[0], t[2])), strict=True):
+        gate[bits] = True
+    return out
+
+
+def near_leads(flags: np.ndarray, values: np.ndarray, rows: np.ndarray, bounds: np.ndarray, reach: int, gates: list[np.ndarray]) -> np.ndarray:
+    """Which flags stand within `reach` words of a first leading term that has the second and the third of a window within reach too.
+
+    A window that lies within `reach` words has its leading terms there, so nothing of it is left out.
+    """
+    at = np.flatnonzero(gates[0][values & np.uint64(GATE - 1)])
+    for gate in gates[1:]:
+        seen = np.zeros(len(at), bool)
+        for d in range(1 - reach, reach):
+            there = np.flatnonzero(~seen & (at + d >= bounds[rows[at]]) & (at + d < bounds[rows[at] + 1]))
+            seen[there] = gate[pair_bits(values[at[there]], values[at[there] + d])]
+        at = at[seen]
     steps = np.zeros(len(flags) + 1, np.int64)
-    np.add.at(steps, at[full], 1)
-    np.add.at(steps, np.minimum(at + reach, bounds[rows + 1])[full], -1)
+    np.add.at(steps, np.maximum(at - reach + 1, bounds[rows[at]]), 1)
+    np.add.at(steps, np.minimum(at + reach, bounds[rows[at] + 1]), -1)
     return flags & (np.cumsum(steps[:-1]) > 0)
 
 
@@ -107,10 +135,9 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     spark = docs.sparkSession
     items = item_terms(items, item_id, item_text)
     long_gate, short_gate, least = gates(items, window)
-    sent = spark.sparkContext.broadcast((np.packbits(long_gate), np.packbits(short_gate)))
     any_short = bool(short_gate.any())
-    kinds = windows(items, window).groupBy((F.col("size") < window).alias("short")).agg(F.min(F.size("terms")).alias("n")).collect()
-    fewest = {r["short"]: r["n"] for r in kinds}  # distinct terms of a window
+    kept = [long_gate, short_gate, *lead_gates(leading(items, window))]
+    sent = spark.sparkContext.broadcast([np.packbits(x) for x in kept])
     docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULTS))
     term, place, phrase = (fresh(docs, c) for c in ("terms", "places", "phrase"))
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(term, T.ArrayType(T.LongType())), T.StructField(place, T.ArrayType(T.IntegerType())), T.StructField(phrase, T.ArrayType(T.BooleanType()))])
@@ -124,9 +151,7 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
         keep = in_runs(unpacked[0][bit], rows, window)
         if any_short:
             keep |= in_runs(unpacked[1][bit], rows, least)
-        near = in_stretches(unpacked[0][bit], w.bounds, window + slop, fewest[False]) if False in fewest else np.zeros(len(bit), bool)
-        if any_short:
-            near |= in_stretches(unpacked[1][bit], w.bounds, window + slop, fewest[True])
+        near = near_leads(unpacked[0][bit] | unpacked[1][bit], w.values, rows, w.bounds, window + slop, [unpacked[k] for k in (2, 3, 4)])
         at = np.flatnonzero(keep | near)
         bounds = pa.array(np.searchsorted(at, w.bounds).astype(np.int32))
         places = (at - w.bounds[rows[at]]).astype(np.int32)

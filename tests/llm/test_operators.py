@@ -282,6 +282,19 @@ def test_proximity(spark):
     assert len(near) == len(texts) and near[2][0] < near[2][1]
 
 
+def test_proximity_keeps_postings_near_leading_terms_only(spark):
+    """Test terms alone, however many, don't make postings: those of a window that few items have must stand together."""
+    common = ["w%d" % k for k in range(12)]
+    items = [(k, " ".join([*common[:5], f"rare{k}", *common[5:9], f"odd{k}"])) for k in range(3)]
+    texts = [" ".join(common * 20), " ".join([*common, "rare1", *common]), " ".join([*common[:5], "rare2", "foreign", *common[5:9], "odd2"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontamination.build(docs, spark.createDataFrame(items, "item_id long, text string"))
+    names = {r["row_no"]: r["doc_id"] for r in index.docs.collect()}
+    assert 0 not in {names[r["row_no"]] for r in index.near.select("row_no").distinct().collect()}
+    near = {r["doc_id"]: r["n_near_items"] for r in decontamination.near_items(index).collect()}
+    assert near == {0: 0, 1: 1, 2: 1}
+
+
 # ---------------------------------------------------------------- 7
 
 
