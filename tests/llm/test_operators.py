@@ -620,6 +620,26 @@ def test_stored_leaves_no_shuffle_files(spark):
     assert spark.conf.get(texts_module.SHUFFLES_GO, None) != "true"
 
 
+def test_stored_in_turn(spark):
+    """Slices by a hash have all rows once, and one slice's shuffle files are gone before the next slice is written."""
+    rows = spark.range(1000).selectExpr("if(id = 7, null, xxhash64(id % 100)) as h", "id")
+    parts = texts_module.dealt(rows, "h", 4)
+    assert len(parts) == 4 and sorted(r["id"] for p in parts for r in p.collect()) == list(range(1000))
+    assert all(p.count() for p in parts)
+    got = texts_module.stored_in_turn([p.groupBy("h").count() for p in parts], "parts")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.groupBy("h").count().collect()} and got.count() == 101
+
+
+def test_line_dedup_shuffles_slices(spark, monkeypatch):
+    """Features and keys are written slice by slice, and in as many slices lines are grouped alike."""
+    made = []
+    in_turn = line_dedup.stored_in_turn
+    monkeypatch.setattr(line_dedup, "stored_in_turn", lambda parts, name, *a: (made.append((name, len(parts))), in_turn(parts, name, *a))[1])
+    lines = ["the first of many lines in a text", "the first of many lines in a texts", "some other line that nothing here is like", "the first of many lines in a text"]
+    root = grouped(spark, lines)
+    assert root[0] == root[1] == root[3] != root[2] and made == [("features", line_dedup.SLICES), ("seen", line_dedup.SLICES)]
+
+
 def test_likely_among(spark):
     """All rows that are looked for, few others, and no shuffle of the rows."""
     rows = spark.range(0, 2000).selectExpr("xxhash64(id) as k", "id")
