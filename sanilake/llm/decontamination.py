@@ -158,7 +158,7 @@ def build(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
         return [pa.array(w.counts, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(textvec.as_long(w.values[at]))), pa.ListArray.from_arrays(bounds, pa.array(places)), pa.ListArray.from_arrays(bounds, pa.array(keep[at]))]
 
     row_no = fresh(docs, "row_no")
-    table = stored(add_columns(docs.withColumn(row_no, F.monotonically_increasing_id()), text, fields, compute, drop_text=True), "postings")
+    table = stored(add_columns(docs.withColumn(row_no, F.monotonically_increasing_id()), text, fields, compute, drop_text=True), "postings", compression="zstd")
     near = table.select(F.col(row_no).alias("row_no"), F.explode(F.arrays_zip(F.col(term).alias("term"), F.col(place).alias("pos"), F.col(phrase).alias("phrase"))).alias("p")).select("p.term", "row_no", "p.pos", "p.phrase")
     return Index(table.drop(term, place, phrase), near.where("phrase").drop("phrase"), near.drop("phrase"), items, window, slop, row_no)
 
