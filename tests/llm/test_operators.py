@@ -630,6 +630,24 @@ def test_stored_in_turn(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.groupBy("h").count().collect()} and got.count() == 101
 
 
+def test_line_dedup_short_words_make_no_crowd(spark):
+    """Lines that share a run of short words only don't meet under it; copies with another word do, and lines of short words only."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(6, 8)))
+    short = "it is of the in to an as at by on so or".split()
+    texts = []
+    for _ in range(100):
+        line = [word() for _ in range(20)]
+        line[7:7] = short
+        texts += [" ".join(line), " ".join([*line[:25], word(), *line[26:]])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = line_dedup.features_of(line_dedup.lines_of(rows, "doc_id", "text").select("node", "line")).select(F.explode("keys").alias("key"))
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= 10
+    plain = ["we go to it as he is at an ox or so do i", "we go to it as he is at an ox or so do u", "it is up to us if we do go on by no one"]
+    root = grouped(spark, [*texts, *plain])
+    assert sum(root[n] == root[n + 1] for n in range(0, 200, 2)) >= 95 and root[200] == root[201] != root[202] and len(set(root.values())) >= 102
+
+
 def test_line_dedup_shuffles_slices(spark, monkeypatch):
     """Features and keys are written slice by slice, and in as many slices lines are grouped alike."""
     made = []
